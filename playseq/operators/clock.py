@@ -19,34 +19,37 @@ def _period_runs(df: DataFrame, seq: Ordered) -> DataFrame:
     )
 
 
-def _first_smaller_clock(heads: DataFrame, seq: Ordered) -> DataFrame:
-    """For each row with ``_search``, the first later ``_secs`` of its run that is below its own.
+def _add_first_lower(df: DataFrame, seq: Ordered) -> DataFrame:
+    """Add ``_found`` to rows at or after a head with ``_search``: that head (negated ``_n``) and the
+    first later head of its run with lower ``_secs``.
 
-    Writing values in binary, ``x`` is below ``s`` exactly if for one bit set in ``s`` the bit is clear
+    Writing clocks in binary, ``x`` is below ``s`` exactly if for one bit set in ``s`` the bit is clear
     in ``x`` and all higher bits agree. So per bit, rows that agree above it form a group, and the
-    nearest later row of the group with the bit clear is that bit's candidate: one reverse running
-    minimum, n log(clock range) work, no pairs and no arrays.
+    nearest later row of the group with the bit clear is the candidate of that bit. Heads that search,
+    and lower heads behind them, get one extra row per bit for this; the extra rows stay on the
+    partition of their key, so nothing is shuffled, and no pairs or arrays of rows are built.
     """
-    run = Ordered((*seq.keys, "_run"), ("_n",), seq.sliced)
-    searched = F.when(F.col("_search"), F.col("_secs"))
-    heads = run.total(heads, _top=("max", searched), _base=("min", F.col("_secs")))
-    spread = (
-        heads.where(F.col("_top").isNotNull())
-        .withColumn("_level", F.col("_secs") - F.col("_base"))
-        .withColumn("_bit", F.explode(F.sequence(F.lit(0), F.length(F.bin(F.col("_top") - F.col("_base"))) - 1)))
-        .withColumn("_group", F.expr("shiftright(_level, _bit + 1)"))
-        .withColumn("_clear", F.expr("shiftright(_level, _bit) & 1") == 0)
-        .where(F.col("_clear") | F.col("_search"))
-    )
-    group = Ordered((*run.keys, "_bit", "_group"), ("_n",), seq.sliced)
-    candidate = F.when(F.col("_clear"), F.struct("_n", "_secs"))
-    nearest = group.running(spread, backwards=True, _near=("min", candidate, False))
-    return (
-        nearest.where(F.col("_search") & ~F.col("_clear"))
-        .groupBy(*seq.keys, F.col("_n").alias("_head"))
-        .agg(F.min("_near")["_secs"].alias("_later_secs"))
-        .where(F.col("_later_secs").isNotNull())
+    secs = F.col("_secs")
+    df = seq.total(df, _base=("min", secs), _top=("max", secs))
+    # The run number grows, so the maximum belongs to the current run once that has a searching head.
+    df = seq.running(df, _sought=("max", F.when(F.col("_search"), F.struct("_run", "_secs"))))
+    below = F.col("_is_head") & (F.col("_sought._run") == F.col("_run")) & (secs < F.col("_sought._secs"))
+    bits = F.sequence(F.lit(0), F.length(F.bin(F.col("_top") - F.col("_base"))) - 1)
+    is_set = "(shiftright(_secs - _base, b) & 1) = 1"
+    df = df.withColumn("_bits", F.when(F.col("_search") | F.coalesce(below, F.lit(False)), bits)).withColumn(
+        "_bit", F.explode(F.expr(f"concat(array(-1), coalesce(filter(_bits, b -> _search OR NOT {is_set}), array()))"))
     )
+    is_copy = F.col("_bit") >= 0
+    clear = F.expr("_bit >= 0 AND (shiftright(_secs - _base, _bit) & 1) = 0")
+    df = df.withColumn("_group", F.when(is_copy, F.expr("shiftright(_secs - _base, _bit + 1)")))
+    group = Ordered((*seq.keys, "_run", "_bit", "_group"), ("_n",), seq.sliced)
+    df = group.running(df, backwards=True, _near=("min", F.when(clear, F.struct("_n", "_secs")), False))
+    found = F.struct((-F.col("_n")).alias("head"), F.col("_near").alias("near"))
+    probe = F.col("_search") & is_copy & ~clear & F.col("_near").isNotNull()
+    # Copies come before their row; the negated number makes the minimum restart at each searching head.
+    df = df.withColumn("_last", (~is_copy).cast("int"))
+    df = seq.by("_n", "_last", "_bit").running(df, _found=("min", F.when(probe, found)))
+    return df.where(~is_copy)
 
 
 def repair_stuck_clocks(
@@ -70,14 +73,12 @@ def repair_stuck_clocks(
     length = F.coalesce(nxt["_n"], F.col("_end") + 1) - own["_n"]
     same_run = F.coalesce(nxt["_run"] == F.col("_run"), F.lit(False))
     next_is_lower = same_run & (nxt["_secs"] < own["_secs"])
-    search = is_head & (length >= min_streak) & same_run & ~next_is_lower
-    df = df.withColumns({"_head": own["_n"], "_length": length, "_search": search})
-
-    # Only runs in which the clock rises right after a stuck stretch are searched further ahead.
-    heads = df.where(is_head).select(*seq.columns, "_n", "_run", "_secs", "_search")
-    df = seq.lookup(df, _first_smaller_clock(heads, seq), "_head", "_later_secs")
+    # Only if the clock rises right after a stuck stretch is there anything to search for.
+    df = df.withColumns({"_length": length, "_search": is_head & (length >= min_streak) & same_run & ~next_is_lower})
+    df = _add_first_lower(df, seq)
 
-    later = F.when(next_is_lower, nxt["_secs"]).otherwise(F.when(same_run, F.col("_later_secs")))
+    searched = F.when(F.col("_found.head") == -own["_n"], F.col("_found.near._secs"))
+    later = F.when(next_is_lower, nxt["_secs"]).otherwise(searched)
     step = F.col("_n") - own["_n"]
     spread = (own["_secs"] - (own["_secs"] - later) / F.col("_length") * step).cast("bigint")
     stuck = (F.col("_length") >= min_streak) & (step > 0)

@@ -99,21 +99,6 @@ class Ordered:
             return df.withColumn(name, F.row_number().over(self.window()).cast("bigint"))
         return self.running(df, **{name: ("sum", F.lit(1).cast("bigint"))})
 
-    def lookup(self, df: DataFrame, found: DataFrame, at: str, value: str) -> DataFrame:
-        """Add ``value`` from ``found`` (keys, ``at``, ``value``; few rows) where ``at`` agrees.
-
-        Ordinary keys gather their findings into one map per key: joining on the keys alone reuses
-        the partitioning of the windows around it instead of shuffling all rows again.
-        """
-        if self.sliced:
-            right = found.select(*[F.col(c).alias("_r_" + c) for c in (*self.keys, at)], value)
-            same = F.lit(True)
-            for c in (*self.keys, at):
-                same = same & F.col(c).eqNullSafe(F.col("_r_" + c))
-            return df.join(right, same, "left").drop(*["_r_" + c for c in (*self.keys, at)])
-        pairs = found.groupBy(*self.keys).agg(F.map_from_entries(F.collect_list(F.struct(at, value))).alias("_found"))
-        return df.join(pairs, list(self.keys), "left").withColumn(value, F.col("_found")[F.col(at)]).drop("_found")
-
     # -- hot keys --------------------------------------------------------------------------------
 
     def over(self, df: DataFrame, operator: Callable[[DataFrame, Ordered], DataFrame]) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Sequence as Names
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,6 +38,17 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write the rows as a columnar table in the shared folder and read them from there.
+
+    For results with several readers: each then scans only the columns it needs.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/playseq/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def _same(left: DataFrame, right: DataFrame, names: Names[str]):
     condition = F.lit(True)
     for name in names:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,10 +18,12 @@ from playseq.operators.clock import clamp_clocks, fix_clocks, repair_stuck_clock
 from playseq.operators.field import fill_field_positions
 from playseq.operators.order import PLAY_ORDER, first_arrivals, in_play_order
 from playseq.operators.sequence import Ordered
+from playseq.operators.storage import shared_dir
 from playseq.plans import pipeline
 from playseq.sources import documents, snapshots
 from playseq.sources.event_feed import EVENT_ORDER, entry_feed, play_feed, read_events
 from playseq.sources.schemas import SCOREBOARD, SUMMARY
+from playseq.streaming import refresh
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -476,7 +479,8 @@ def order_games(spark, folder) -> DataFrame:
 
 
 def _week_columns(df: DataFrame) -> DataFrame:
-    return df.select("game_id", "season", "week", "seasontype", "start_date", "end_date")
+    dates = [F.col(c).cast("string").alias(c) for c in ("start_date", "end_date")]
+    return df.select("game_id", "season", F.coalesce("week", F.lit(-1)).alias("week"), "seasontype", *dates)
 
 
 @query
@@ -519,13 +523,15 @@ def order_schedule(spark, folder) -> DataFrame:
 
 @query
 def season_partition(spark, folder):
-    return calendar.games_of_week(order_schedule(spark, folder), order_calendar(spark), season=1998, week=5)
+    found = calendar.games_of_week(order_schedule(spark, folder), order_calendar(spark), season=1998, week=5)
+    return found.withColumn("game_date", F.col("game_date").cast("string"))
 
 
 @query
 def season_postseason(spark, folder):
     schedule = order_schedule(spark, folder)
-    return calendar.games_of_week(schedule, order_calendar(spark), league="cfb", season=1997, seasontype=3)
+    found = calendar.games_of_week(schedule, order_calendar(spark), league="cfb", season=1997, seasontype=3)
+    return found.withColumn("game_date", F.col("game_date").cast("string"))
 
 
 @query
@@ -716,7 +722,7 @@ def scoreboard_texts(spark, folder) -> DataFrame:
 def json_games(spark, folder):
     docs = documents.parse_column(scoreboard_texts(spark, folder), "document", SCOREBOARD)
     games = documents.with_game_date(documents.flatten_scoreboards(documents.readable(docs)))
-    return games.drop("doc_id", "kickoff")
+    return games.drop("doc_id", "kickoff").withColumn("game_date", F.col("game_date").cast("string"))
 
 
 @query
@@ -853,3 +859,51 @@ def play_viewer(spark, folder):
         return views.play_log(entries, seq)
 
     return on_feed(spark, folder, run)
+
+
+# -- streaming -----------------------------------------------------------------------------------
+
+
+def event_stream(spark, folder, parts: int):
+    """The events as a stream of ``parts`` files in order of time."""
+    events = read_events(table(spark, folder, "events"))
+    path = f"{shared_dir(spark)}/playseq/landing-{uuid.uuid4().hex}"
+    events.repartitionByRange(parts, "ts").write.parquet(path)
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path), path
+
+
+@query
+def stream_equals_batch(spark, folder):
+    """Entries after replaying the events in three micro-batches."""
+    stream, path = event_stream(spark, folder, 3)
+    store = refresh.Store(path + "-out")
+
+    def derive(df, seq):
+        return flags.flag_entries(entry_feed(df, seq), seq.by("ord")).select("game_id", "ord", "down", "qc_issue")
+
+    running = (
+        stream.writeStream.foreachBatch(lambda df, i: refresh.recompute_touched(df, i, store, EVENT_ORDER, derive))
+        .option("checkpointLocation", store.table("_progress"))
+        .trigger(availableNow=True)
+        .start()
+    )
+    running.awaitTermination()
+    latest = snapshots.latest_rows(spark.read.parquet(store.table("derived")))
+    return latest.select("game_id", "ord", "down", "qc_issue")
+
+
+@query
+def stream_alert_keys(spark, folder):
+    """Alert keys (user and event type) that a stream raises once, however often they occur."""
+    stream, path = event_stream(spark, folder, 3)
+    key = F.concat_ws(":", F.col("game_id").cast("string"), F.col("event_type"))
+    keyed = stream.select("game_id", F.col("event_type").alias("type"), key.alias("alert_key"))
+    running = (
+        keyed.dropDuplicates(["alert_key"])
+        .writeStream.format("parquet")
+        .option("checkpointLocation", path + "-progress")
+        .trigger(availableNow=True)
+        .start(path + "-out")
+    )
+    running.awaitTermination()
+    return spark.read.parquet(path + "-out")

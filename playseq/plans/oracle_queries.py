@@ -234,7 +234,7 @@ weeks AS (SELECT y AS season, CAST(range AS INTEGER) AS week, 2 AS seasontype,
     make_date(y, 8, 23) + CAST(CASE WHEN range = 0 THEN 0 ELSE 3 + 7 * (range - 1) END AS INTEGER) AS start_date,
     make_date(y, 8, 23) + CAST(CASE WHEN range = 0 THEN 2 ELSE 9 + 7 * (range - 1) END AS INTEGER) AS end_date FROM years, range(0, 16)
   UNION ALL SELECT y, NULL, 3, make_date(y, 12, 9), make_date(y + 1, 1, 15) FROM years)"""
-_WEEKS = "SELECT o_orderkey AS game_id, season, week, seasontype, start_date, end_date FROM orders JOIN weeks ON CAST(o_orderdate AS DATE) BETWEEN start_date AND end_date"
+_WEEKS = "SELECT o_orderkey AS game_id, season, coalesce(week, -1) AS week, seasontype, CAST(start_date AS VARCHAR) AS start_date, CAST(end_date AS VARCHAR) AS end_date FROM orders JOIN weeks ON CAST(o_orderdate AS DATE) BETWEEN start_date AND end_date"
 SQL["week_games_range"] = f"{_CALENDAR} {_WEEKS}"
 SQL["week_games_days"] = f"{_CALENDAR} {_WEEKS}"
 SQL["week_date_ranges"] = f"""{_CALENDAR}, asked AS (SELECT o_orderkey AS request_id, CAST(year(o_orderdate) AS INTEGER) AS season,
@@ -243,12 +243,12 @@ SELECT request_id, a.season, a.week, a.seasontype, strftime(start_date, '%Y%m%d'
 FROM asked a LEFT JOIN weeks w ON w.season = a.season AND w.seasontype = a.seasontype AND (a.seasontype = 3 OR w.week = a.week)"""
 _SCHEDULE = """schedule AS (SELECT o_orderkey AS game_id, CASE WHEN o_orderstatus = 'O' THEN 'nfl' ELSE 'cfb' END AS league,
   CASE WHEN o_orderstatus = 'P' THEN 'in' ELSE 'post' END AS status, CAST(year(o_orderdate) AS INTEGER) AS season,
-  CAST(dayofyear(o_orderdate) // 20 AS INTEGER) AS week, 2 AS seasontype, CAST(o_orderdate AS DATE) AS game_date FROM orders)"""
+  CAST(dayofyear(o_orderdate) // 20 AS INTEGER) AS week, 2 AS seasontype, CAST(o_orderdate AS DATE) AS gd, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS game_date FROM orders)"""
 SQL["season_partition"] = f"""{_CALENDAR}, {_SCHEDULE}
-SELECT * FROM schedule WHERE league = 'nfl' AND season = 1998 AND week = 5
-UNION ALL SELECT s.* FROM schedule s, weeks w WHERE league <> 'nfl' AND w.season = 1998 AND w.week = 5 AND game_date BETWEEN start_date AND end_date"""
+SELECT * EXCLUDE (gd) FROM schedule WHERE league = 'nfl' AND season = 1998 AND week = 5
+UNION ALL SELECT s.* EXCLUDE (gd) FROM schedule s, weeks w WHERE league <> 'nfl' AND w.season = 1998 AND w.week = 5 AND gd BETWEEN start_date AND end_date"""
 SQL["season_postseason"] = f"""{_CALENDAR}, {_SCHEDULE}
-SELECT s.* FROM schedule s, weeks w WHERE league = 'cfb' AND w.season = 1997 AND w.seasontype = 3 AND game_date BETWEEN start_date AND end_date"""
+SELECT s.* EXCLUDE (gd) FROM schedule s, weeks w WHERE league = 'cfb' AND w.season = 1997 AND w.seasontype = 3 AND gd BETWEEN start_date AND end_date"""
 SQL["live_league_games"] = f"WITH {_SCHEDULE} SELECT game_id, league, status FROM schedule WHERE league = 'cfb' AND status = 'in'"
 
 # -- read models
@@ -332,7 +332,7 @@ CASE WHEN key % 4 = 3 THEN 0 ELSE points END AS home_score, key || 'HOM' AS home
 CASE WHEN key % 6 = 0 THEN 'pre' ELSE 'in' END AS status, CASE WHEN key % 6 = 0 THEN '' ELSE 'now' END AS status_detail,
 CAST(CASE WHEN key % 6 = 0 THEN 0 ELSE key % 4 + 1 END AS INTEGER) AS period, CASE WHEN key % 6 = 0 THEN '0:00' ELSE '7:30' END AS clock,
 CASE WHEN key % 2 <> 0 THEN '' WHEN key % 3 = 0 THEN 'SN' WHEN key % 3 = 1 THEN 'Long' ELSE '' END AS conference,
-strftime(o_orderdate, '%Y-%m-%dT%H:%MZ') AS date, CAST(o_orderdate AS DATE) AS game_date
+strftime(o_orderdate, '%Y-%m-%dT%H:%MZ') AS date, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS game_date
 FROM o WHERE key % 15 <> 7 AND key % 50 <> 49"""
 SQL["json_dead_letters"] = """SELECT o_orderkey AS game_id, 'ERROR' AS severity, 'fetch_failed' AS type,
 'Failed to fetch plays: unreadable document' AS message FROM orders WHERE o_orderkey % 50 = 49"""
@@ -400,3 +400,8 @@ SQL["live_alerts"] = _live.select(
     UNION SELECT game_id, severity, type, message, alert_key FROM stalls WHERE game_id % 6 = 0"""
 )
 on_feed("play_viewer", f"SELECT game_id, play_index + 1 AS play_no, {_LOG}, qc_issue, {_CLASSES} FROM {{src}}", O.pipeline)
+
+# -- streaming
+
+on_entries("stream_equals_batch", "SELECT game_id, ord, down, qc_issue FROM {src}", O.issue_text)
+SQL["stream_alert_keys"] = """SELECT DISTINCT user_id AS game_id, event_type AS type, user_id || ':' || event_type AS alert_key FROM events"""

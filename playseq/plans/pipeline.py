@@ -14,6 +14,7 @@ from playseq.operators.mapping import map_plays
 from playseq.operators.names import with_canonical_names
 from playseq.operators.order import first_arrivals, in_play_order
 from playseq.operators.sequence import GAME, Ordered
+from playseq.operators.storage import written
 from playseq.sources import documents
 
 HEADER_COLUMNS = ("status", "home_team_id", "home_team", "home_abbrev", "away_team_id", "away_team", "away_abbrev")
@@ -94,11 +95,12 @@ def check_games(
 ) -> Quality:
     """Check all games: issues with resolved severity, new alerts, and the summary row.
 
-    ``games`` has ``game_id``; ``entries`` come from the pipeline. The summary is of use for historical
-    runs; it is lazy, so live runs do not pay for it.
+    ``games`` has ``game_id``; ``entries`` come from the pipeline. Entries and issues have several
+    readers, so both are written once instead of being computed for each.
     """
+    entries = written(entries, "entries")
     issues = GAME.over(entries, lambda df, seq: checks.check_entries(df, seq))
-    issues = checks.resolve_severity(issues, mode=mode)
+    issues = written(checks.resolve_severity(issues, mode=mode), "issues")
     counts = summary.play_counts(entries)
     fresh = alerts.new_alerts(issues, seen)
     columns = ["game_id", "severity", "type", "message"]
