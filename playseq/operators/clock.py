@@ -11,12 +11,12 @@ from playseq.operators.sequence import GAME, Ordered
 
 
 def _period_runs(df: DataFrame, seq: Ordered) -> DataFrame:
-    """Number the contiguous runs of one period as ``_run``."""
-    df = seq.shift(df, _prev_period=(F.col("period"), 1), _has_prev=(F.lit(True), 1, False))
+    """Number rows (``_n``) and contiguous runs of one period (``_run``, its first row ``_starts``)."""
+    df = seq.shift(df, _prev_period=(F.col("period"), 1), _prev_clock=(F.col("clock"), 1), _has_prev=(F.lit(True), 1, False))
     starts = ~F.col("_has_prev") | ~F.col("period").eqNullSafe(F.col("_prev_period"))
-    return seq.running(df, _run=("sum", F.when(starts, F.lit(1)).otherwise(F.lit(0)).cast("bigint"))).drop(
-        "_prev_period", "_has_prev"
-    )
+    df = df.withColumn("_starts", starts)
+    one = F.lit(1).cast("bigint")
+    return seq.running(df, _n=("sum", one), _run=("sum", F.when(F.col("_starts"), one).otherwise(one * 0)))
 
 
 def _add_first_lower(df: DataFrame, seq: Ordered) -> DataFrame:
@@ -47,8 +47,9 @@ def _add_first_lower(df: DataFrame, seq: Ordered) -> DataFrame:
     found = F.struct((-F.col("_n")).alias("head"), F.col("_near").alias("near"))
     probe = F.col("_search") & is_copy & ~clear & F.col("_near").isNotNull()
     # Copies come before their row; the negated number makes the minimum restart at each searching head.
+    # Windows in plain order that follow can use this sort.
     df = df.withColumn("_last", (~is_copy).cast("int"))
-    df = seq.by("_n", "_last", "_bit").running(df, _found=("min", F.when(probe, found)))
+    df = seq.by(*seq.order, "_last", "_bit").running(df, _found=("min", F.when(probe, found)))
     return df.where(~is_copy)
 
 
@@ -61,10 +62,13 @@ def repair_stuck_clocks(
     each play costs ``default_elapsed`` seconds. Sequences shorter than ``min_streak`` stay as they are.
     """
     original = df.columns
-    df = _period_runs(df, seq).withColumn("_secs", clock_seconds(F.col("clock")))
-    df = seq.shift(df, _prev_clock=(F.col("clock"), 1), _prev_run=(F.col("_run"), 1))
-    head = ~(F.col("_prev_clock").eqNullSafe(F.col("clock")) & F.col("_prev_run").eqNullSafe(F.col("_run")))
-    df = seq.number(df.withColumn("_is_head", head), "_n")
+    return _unstick(_period_runs(df, seq), seq, default_elapsed, min_streak).select(*original)
+
+
+def _unstick(df: DataFrame, seq: Ordered, default_elapsed: int, min_streak: int) -> DataFrame:
+    """The repair, given the columns of :func:`_period_runs`."""
+    df = df.withColumn("_secs", clock_seconds(F.col("clock")))
+    df = df.withColumn("_is_head", F.col("_starts") | ~F.col("_prev_clock").eqNullSafe(F.col("clock")))
     is_head, seen = F.col("_is_head"), F.struct("_n", "_run", "_secs")
     df = seq.running(df, _own=("max", F.when(is_head, seen)))
     df = seq.running(df, backwards=True, _next=("min", F.when(is_head, seen), False), _end=("max", F.col("_n")))
@@ -82,29 +86,32 @@ def repair_stuck_clocks(
     step = F.col("_n") - own["_n"]
     spread = (own["_secs"] - (own["_secs"] - later) / F.col("_length") * step).cast("bigint")
     stuck = (F.col("_length") >= min_streak) & (step > 0)
-    df = df.withColumn(
-        "clock",
-        F.when(stuck, clock_text(F.coalesce(spread, own["_secs"] - default_elapsed * step))).otherwise(F.col("clock")),
-    )
-    return df.select(*original)
+    fallen = F.coalesce(spread, own["_secs"] - default_elapsed * step)
+    return df.withColumn("clock", F.when(stuck, clock_text(fallen)).otherwise(F.col("clock")))
 
 
 def clamp_clocks(df: DataFrame, seq: Ordered = GAME, *, min_rows: int = 6) -> DataFrame:
     """Keep the clock from rising within a contiguous period; sequences below ``min_rows`` are left alone."""
     original = df.columns
-    df = seq.total(_period_runs(df, seq), _rows=("sum", F.lit(1).cast("bigint")))
+    return _clamp(_period_runs(df, seq), seq, min_rows).select(*original)
+
+
+def _clamp(df: DataFrame, seq: Ordered, min_rows: int) -> DataFrame:
+    """The clamp, given the columns of :func:`_period_runs`."""
     df = df.withColumn("_secs", clock_seconds(F.col("clock")))
+    df = seq.total(df, _rows=("max", F.col("_n")))
     # The run number falls as runs pass, so the minimum restarts with each run.
     df = seq.running(df, _low=("min", F.struct((-F.col("_run")).alias("run"), F.col("_secs").alias("secs"))))
     low = F.least(F.col("_low")["secs"], F.lit(PERIOD_SECONDS).cast("bigint"))
     rises = (F.col("_rows") >= min_rows) & (F.col("_secs") > low)
-    return df.withColumn("clock", F.when(rises, clock_text(low)).otherwise(F.col("clock"))).select(*original)
+    return df.withColumn("clock", F.when(rises, clock_text(low)).otherwise(F.col("clock")))
 
 
 def fix_clocks(df: DataFrame, seq: Ordered = GAME, *, default_elapsed: int = 30, min_streak: int = 6) -> DataFrame:
     """Stuck-clock repair followed by the clamp."""
-    df = repair_stuck_clocks(df, seq, default_elapsed=default_elapsed, min_streak=min_streak)
-    return clamp_clocks(df, seq, min_rows=min_streak)
+    original = df.columns
+    df = _unstick(_period_runs(df, seq), seq, default_elapsed, min_streak)
+    return _clamp(df.select(*original, "_n", "_run"), seq, min_streak).select(*original)
 
 
 def snap_clocks(df: DataFrame, seq: Ordered = GAME) -> DataFrame:

@@ -17,7 +17,9 @@ MISSING_CONVERSION = "Missing EP after TD"
 
 
 def score_changes(df: DataFrame, seq: Ordered = GAME) -> DataFrame:
-    """Add ``home_delta`` and ``away_delta`` against the row before; null on the first row."""
+    """Add ``home_delta`` and ``away_delta`` against the row before (null on the first row), once."""
+    if {"home_delta", "away_delta"} <= set(df.columns):
+        return df
     df = seq.shift(df, _prev_home=(F.col("home_score"), 1), _prev_away=(F.col("away_score"), 1))
     return df.withColumns(
         {"home_delta": F.col("home_score") - F.col("_prev_home"), "away_delta": F.col("away_score") - F.col("_prev_away")}
@@ -32,9 +34,9 @@ def _score_note(delta: Column) -> Column:
 
 def flag_score_changes(df: DataFrame, seq: Ordered = GAME) -> DataFrame:
     """Add ``home_score_flag`` and ``away_score_flag``: drops and impossible rises."""
-    df = score_changes(df, seq)
+    original = df.columns
     flags = {f"{side}_score_flag": _score_note(F.col(f"{side}_delta")) for side in ("home", "away")}
-    return df.withColumns(flags).drop("home_delta", "away_delta")
+    return score_changes(df, seq).withColumns(flags).select(*original, *flags)
 
 
 def stuck_rows(df: DataFrame, seq: Ordered = GAME) -> DataFrame:
@@ -104,5 +106,7 @@ FLAG_COLUMNS = ("home_score_flag", "away_score_flag", "stuck_flag", "conversion_
 
 def flag_entries(df: DataFrame, seq: Ordered = GAME) -> DataFrame:
     """Add ``qc_issue``: all flags of an entry in check order, joined by " · "; empty when clean."""
-    df = flag_missing_conversions(flag_stuck_clock(flag_score_changes(df, seq), seq), seq)
-    return df.withColumn("qc_issue", F.concat_ws(" · ", *FLAG_COLUMNS)).drop(*FLAG_COLUMNS)
+    original = df.columns
+    df = flag_score_changes(score_changes(df, seq), seq)
+    df = flag_missing_conversions(flag_stuck_clock(df, seq), seq)
+    return df.select(*original, F.concat_ws(" · ", *FLAG_COLUMNS).alias("qc_issue"))

@@ -113,14 +113,14 @@ def repair_conversion_scores(df: DataFrame, seq: Ordered = GAME) -> DataFrame:
 
     The repair of a row depends on the repaired row before it, but only within a run of adjacent
     conversion rows: every other row keeps its score and starts a new run. The rule is folded over the
-    handful of rows of such a run. Adds ``fix_note``.
+    handful of rows of such a run. Adds ``fix_note`` and the number of the run, ``conversion_run``.
     """
     original = df.columns
     conversion = F.col("down").isin(*CONVERSION_DOWNS)
     opens = F.when(conversion, F.lit(0)).otherwise(F.lit(1)).cast("bigint")
-    df = seq.running(df, _run=("sum", opens))
+    df = seq.running(df, conversion_run=("sum", opens))
     row = F.struct(F.col("home_score").cast("int").alias("home"), F.col("away_score").cast("int").alias("away"))
-    so_far = seq.window("_run").rowsBetween(Window.unboundedPreceding, 0)
+    so_far = seq.window("conversion_run").rowsBetween(Window.unboundedPreceding, 0)
     df = df.withColumns({"_row": row, "_rows": F.collect_list(row).over(so_far)})
     rows = F.col("_rows")
     between = F.slice(rows, 2, F.greatest(F.size(rows) - 2, F.lit(0)))
@@ -133,7 +133,7 @@ def repair_conversion_scores(df: DataFrame, seq: Ordered = GAME) -> DataFrame:
     )
     df = df.withColumns({"_fixed": fixed, "fix_note": F.coalesce(note, F.lit(""))})
     df = df.withColumns({"home_score": F.col("_fixed")["home"], "away_score": F.col("_fixed")["away"]})
-    return df.select(*original, "fix_note")
+    return df.select(*original, "conversion_run", "fix_note")
 
 
 def insert_gap_rows(df: DataFrame, seq: Ordered = GAME) -> DataFrame:
@@ -175,7 +175,7 @@ def insert_gap_rows(df: DataFrame, seq: Ordered = GAME) -> DataFrame:
     changed["ord"] = F.col("ord") * 2 + F.col("_slot")
     changed["is_placeholder"] = placeholder
     changed["gap_note"] = F.when(placeholder, F.lit(GAP_NOTE)).otherwise(F.lit(""))
-    return df.withColumns(changed).drop("_prev_quarter", "_has_prev", "_next_home", "_next_away", "_text", "_slot")
+    return df.withColumns(changed).drop("conversion_run", "_prev_quarter", "_has_prev", "_next_home", "_next_away", "_text", "_slot")
 
 
 def gap_counts(entries: DataFrame, seq: Ordered = GAME) -> DataFrame:

@@ -59,7 +59,9 @@ def entries_from_plays(plays: DataFrame, seq: Ordered = GAME, *carry: str) -> Da
 
 def finish_entries(entries: DataFrame, seq: Ordered = GAME) -> DataFrame:
     """Last part of the pipeline, on entries that show lagged scores."""
-    entries = scoring.insert_gap_rows(scoring.repair_conversion_scores(entries, seq), seq)
+    entries = scoring.repair_conversion_scores(entries, seq)
+    # The run number only grows, so this is the same order, in which the rows already are.
+    entries = scoring.insert_gap_rows(entries, seq.by("conversion_run", *seq.order))
     entries = seq.number(entries, "play_index").withColumn("play_index", F.col("play_index") - 1)
     return flags.flag_entries(entries, seq)
 

@@ -11,6 +11,8 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "32m",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Recording the call site of every column function makes long plans slow to build.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
