@@ -23,7 +23,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from playseq.operators.storage import filter_by_keys, materialise
+from playseq.operators.storage import filter_by_keys, written
 
 SLICE = "_slice"
 HOT_ROWS_CONF = "spark.playseq.hotRows"
@@ -110,7 +110,7 @@ class Ordered:
         hot = df.groupBy(*self.keys).count().where(F.col("count") > limit).select(*self.keys)
         if hot.isEmpty():
             return operator(df, self)
-        hot = materialise(hot)
+        hot = written(hot)
         ordinary = operator(filter_by_keys(df, hot, self.keys, keep=False), self)
         cut, ordered = self.slice(filter_by_keys(df, hot, self.keys), limit)
         return ordinary.unionByName(operator(cut, ordered).select(*ordinary.columns))
@@ -119,7 +119,7 @@ class Ordered:
         """Range-partition by key and order and remember the partition of each row as its slice."""
         parts = max(2, -(-df.count() // max(rows, 1)))
         cut = df.repartitionByRange(parts, *self.keys, *self.order).withColumn(SLICE, F.spark_partition_id())
-        return materialise(cut), replace(self, sliced=True)
+        return written(cut), replace(self, sliced=True)
 
     def _join_slices(self, df: DataFrame, per_slice: DataFrame) -> DataFrame:
         """Join one row per (keys, slice) to the rows of that slice."""
@@ -131,7 +131,7 @@ class Ordered:
         return df.join(right, same, "left").drop(*["_r_" + c for c in names])
 
     def _running_slices(self, df: DataFrame, specs: dict, backwards: bool) -> DataFrame:
-        df = materialise(df)
+        df = written(df)
         local = self.window(SLICE, backwards=backwards)
         along = Window.partitionBy(*self.keys).orderBy(F.col(SLICE).desc() if backwards else F.col(SLICE).asc())
         sums = df.groupBy(*self.keys, SLICE).agg(*[_AGGREGATES[how](v).alias("_s_" + n) for n, (how, v, _) in specs.items()])
@@ -148,7 +148,7 @@ class Ordered:
         return joined.drop(*[p + n for n in specs for p in ("_l_", "_c_")])
 
     def _total_slices(self, df: DataFrame, specs: dict) -> DataFrame:
-        df = materialise(df)
+        df = written(df)
         sums = df.groupBy(*self.keys, SLICE).agg(*[_AGGREGATES[how](v).alias("_s_" + n) for n, (how, v) in specs.items()])
         whole = Window.partitionBy(*self.keys)
         totals = sums.select(*self.keys, SLICE, *[_AGGREGATES[how]("_s_" + n).over(whole).alias(n) for n, (how, _) in specs.items()])
@@ -159,7 +159,7 @@ class Ordered:
         ahead = max([-k for _, k, _ in specs.values() if k < 0], default=0)
         values = F.struct(*[v.alias(f"v{i}") for i, (v, _, _) in enumerate(specs.values())])
         w = self.window(SLICE)
-        here = materialise(
+        here = written(
             df.withColumns(
                 {
                     "_value": values,

@@ -29,24 +29,16 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Write the rows to the shared folder and cut the lineage there."""
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str = "step") -> DataFrame:
     """Write the rows as a columnar table in the shared folder and read them from there.
 
-    For results with several readers: each then scans only the columns it needs.
+    This cuts the lineage at storage that outlives executors, computes the rows once, and lets each
+    reader scan only the columns it needs.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/playseq/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def _same(left: DataFrame, right: DataFrame, names: Names[str]):
@@ -57,7 +49,7 @@ def _same(left: DataFrame, right: DataFrame, names: Names[str]):
 
 
 def filter_by_keys(df: DataFrame, wanted: DataFrame, keys: Names[str], *, keep: bool = True) -> DataFrame:
-    """Rows of ``df`` whose keys are (or are not) in ``wanted``, a materialised table of distinct keys.
+    """Rows of ``df`` whose keys are (or are not) in ``wanted``, a written table of distinct keys.
 
     A counted, small ``wanted`` is broadcast. A larger one is repeated once per salt, so that the
     rows of one hot key spread over many tasks.
