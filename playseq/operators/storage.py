@@ -48,8 +48,15 @@ def _same(left: DataFrame, right: DataFrame, names: Names[str]):
     return condition
 
 
+def _salted(df: DataFrame, small: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Spread the rows of each key over salts, and repeat the small side once per salt."""
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    rows = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(SALTS)).cast("int"))
+    return rows, small.withColumn("_salt", salts)
+
+
 def filter_by_keys(df: DataFrame, wanted: DataFrame, keys: Names[str], *, keep: bool = True) -> DataFrame:
-    """Rows of ``df`` whose keys are (or are not) in ``wanted``, a written table of distinct keys.
+    """Rows of ``df`` whose keys are (or are not) in ``wanted``, a written table.
 
     A counted, small ``wanted`` is broadcast. A larger one is repeated once per salt, so that the
     rows of one hot key spread over many tasks.
@@ -59,6 +66,16 @@ def filter_by_keys(df: DataFrame, wanted: DataFrame, keys: Names[str], *, keep:
     if wanted.count() <= BROADCAST_ROWS:
         wanted = F.broadcast(wanted.alias("wanted"))
         return df.join(wanted, _same(df, wanted, keys), how)
-    wanted = wanted.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(SALTS)).cast("int"))
-    return salted.join(wanted, _same(salted, wanted, [*keys, "_salt"]), how).drop("_salt")
+    rows, wanted = _salted(df, wanted)
+    return rows.join(wanted, _same(rows, wanted, [*keys, "_salt"]), how).drop("_salt")
+
+
+def lookup(df: DataFrame, found: DataFrame, keys: Names[str]) -> DataFrame:
+    """Add the other columns of ``found`` (a written table, one row per key) to ``df``; null without a match.
+
+    Copied to all executors if counted and small, else joined with salts, as hot keys are to be expected.
+    """
+    if found.count() <= BROADCAST_ROWS:
+        return df.join(F.broadcast(found), list(keys), "left")
+    rows, found = _salted(df, found)
+    return rows.join(found, [*keys, "_salt"], "left").drop("_salt")

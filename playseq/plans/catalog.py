@@ -18,7 +18,7 @@ from playseq.operators.clock import clamp_clocks, fix_clocks, repair_stuck_clock
 from playseq.operators.field import fill_field_positions
 from playseq.operators.order import PLAY_ORDER, first_arrivals, in_play_order
 from playseq.operators.sequence import Ordered
-from playseq.operators.storage import shared_dir
+from playseq.operators.storage import shared_dir, written
 from playseq.plans import pipeline
 from playseq.sources import documents, snapshots
 from playseq.sources.event_feed import EVENT_ORDER, entry_feed, play_feed, read_events
@@ -151,7 +151,7 @@ def order_and_dedup(spark, folder):
 
     both = on_feed(spark, folder, run)
     real = P.is_real_play(F.col("play_id"), F.col("play_type_text"), F.col("description"))
-    ordered = PLAY_ORDER.over(first_arrivals(both.where(real)), in_play_order)
+    ordered = PLAY_ORDER.over(written(first_arrivals(both.where(real)), "plays"), in_play_order)
     return ordered.select("game_id", "ord", "play_id", "is_copy", "sequence_number")
 
 

@@ -14,7 +14,7 @@ from playseq.operators.mapping import map_plays
 from playseq.operators.names import with_canonical_names
 from playseq.operators.order import first_arrivals, in_play_order
 from playseq.operators.sequence import GAME, Ordered
-from playseq.operators.storage import written
+from playseq.operators.storage import filter_by_keys, written
 from playseq.sources import documents
 
 HEADER_COLUMNS = ("status", "home_team_id", "home_team", "home_abbrev", "away_team_id", "away_team", "away_abbrev")
@@ -120,10 +120,12 @@ def monitor_live(
     ``counts`` holds the play count of each game per snapshot (``game_id, fetched_at, play_count``).
     """
     live = alerts.only_watched(games.where(F.col("status") == "in"), watchlist).select("game_id")
-    watched = entries.join(live, "game_id", "left_semi")
+    live = written(live, "live")
+    # Written, because the checker reads the entries twice: to look for hot games and to check them.
+    watched = written(filter_by_keys(entries, live, ["game_id"]), "watched")
     issues = checks.resolve_severity(GAME.over(watched, lambda df, seq: checks.check_entries(df, seq)))
     found = alerts.with_alert_keys(issues)
-    stalled = checks.stalled_feeds(counts.join(live, "game_id", "left_semi"))
+    stalled = checks.stalled_feeds(filter_by_keys(counts, live, ["game_id"]))
     columns = ["game_id", "severity", "type", "message", "alert_key", "play_index", "check_no"]
     stalled = stalled.withColumns({"play_index": F.lit(-1).cast("bigint"), "check_no": F.lit(0)})
     both = found.select(*columns).unionByName(stalled.select(*columns))
