@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from playseq.functions.text import day_range
+from playseq.operators.storage import local_table
 
 REGULAR, POSTSEASON = 2, 3
 CALENDAR_SCHEMA = "season int, week int, seasontype int, start_date date, end_date date"
@@ -43,7 +44,7 @@ SEASONS = (
 
 def season_calendar(spark: SparkSession, seasons: tuple[Season, ...] = SEASONS) -> DataFrame:
     """One row per week, and one per postseason (week null): 17 rows per season."""
-    return spark.createDataFrame([row for s in seasons for row in s.rows()], CALENDAR_SCHEMA)
+    return local_table(spark, [row for s in seasons for row in s.rows()], CALENDAR_SCHEMA)
 
 
 def week_dates(requests: DataFrame, calendar: DataFrame) -> DataFrame:

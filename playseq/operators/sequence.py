@@ -112,7 +112,8 @@ class Ordered:
             return operator(df, self)
         hot = written(hot)
         ordinary = operator(filter_by_keys(df, hot, self.keys, keep=False), self)
-        cut, ordered = self.slice(filter_by_keys(df, hot, self.keys), limit)
+        # Counting, sampling and cutting each read the hot rows, so they are computed once before.
+        cut, ordered = self.slice(written(filter_by_keys(df, hot, self.keys), "hot"), limit)
         return ordinary.unionByName(operator(cut, ordered).select(*ordinary.columns))
 
     def slice(self, df: DataFrame, rows: int) -> tuple[DataFrame, Ordered]:

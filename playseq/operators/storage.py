@@ -6,8 +6,10 @@ import tempfile
 import uuid
 from collections.abc import Sequence as Names
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 # Rows below which a counted table is small enough to copy to every executor.
 BROADCAST_ROWS = 200_000
@@ -29,6 +31,14 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+def local_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A small fixed table as a local relation, whose size the optimizer knows."""
+    fields = spark.createDataFrame([], schema).schema
+    columns = list(zip(*rows)) or [[] for _ in fields]
+    arrow = pa.table([pa.array(c, to_arrow_type(f.dataType)) for c, f in zip(columns, fields)], names=fields.names)
+    return spark.createDataFrame(arrow, fields)
+
+
 def written(df: DataFrame, name: str = "step") -> DataFrame:
     """Write the rows as a columnar table in the shared folder and read them from there.
 

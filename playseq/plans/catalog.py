@@ -621,7 +621,7 @@ def weekly_snapshots(spark, folder) -> DataFrame:
 
 @query
 def latest_snapshot(spark, folder):
-    return snapshots.latest_rows(weekly_snapshots(spark, folder))
+    return snapshots.latest_rows(written(weekly_snapshots(spark, folder), "snapshots"))
 
 
 @query
