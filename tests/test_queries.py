@@ -18,7 +18,7 @@ def db():
 
 
 def test_every_query_has_a_statement():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(QUERIES) <= set(entry.oracle_sql()) & set(entry.queries())
 
 
 @pytest.mark.parametrize("name", list(QUERIES))
