@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from playseq.llm import decontaminate, mixing, warc
+from playseq.llm import decontaminate, langid, mixing, warc
 from playseq.llm.common import table
 
 
@@ -19,6 +19,10 @@ def op4_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op8_language(spark: SparkSession, folder: str) -> DataFrame:
+    return langid.identify(table(spark, folder, "documents")).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
     mixed = mixing.in_training_order(mixing.mix(table(spark, folder, "documents")))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "position")
@@ -27,6 +31,7 @@ def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op4_decontamination": op4_decontamination,
+    "op8_language": op8_language,
     "op10_mixing": op10_mixing,
 }
 
