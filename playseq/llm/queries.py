@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from playseq.llm import decontaminate, langid, mixing, toxicity, warc
+from playseq.llm import decontaminate, html, langid, mixing, toxicity, warc
 from playseq.llm.common import table
 
 
@@ -23,6 +23,10 @@ def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.toxicity(table(spark, folder, "documents"), table(spark, folder, "labels")).select("doc_id", "held_out", "score", "predicted")
 
 
+def op6_main_text(spark: SparkSession, folder: str) -> DataFrame:
+    return html.main_text(table(spark, folder, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op8_language(spark: SparkSession, folder: str) -> DataFrame:
     return langid.identify(table(spark, folder, "documents")).select("doc_id", "held_out", "lang_pred", "score")
 
@@ -36,6 +40,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op4_decontamination": op4_decontamination,
     "op5_toxicity": op5_toxicity,
+    "op6_main_text": op6_main_text,
     "op8_language": op8_language,
     "op10_mixing": op10_mixing,
 }
