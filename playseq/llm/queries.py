@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from playseq.llm import decontaminate, embeddings, html, langid, mixing, toxicity, warc
+from playseq.llm import decontaminate, embeddings, html, langid, mixing, ngram_join, toxicity, warc
 from playseq.llm.common import table
 
 
@@ -31,6 +31,10 @@ def op6_main_text(spark: SparkSession, folder: str) -> DataFrame:
     return html.main_text(table(spark, folder, "pages")).select("page_id", "url", "text", "n_chars")
 
 
+def op7_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(spark, folder, "documents"))
+
+
 def op8_language(spark: SparkSession, folder: str) -> DataFrame:
     return langid.identify(table(spark, folder, "documents")).select("doc_id", "held_out", "lang_pred", "score")
 
@@ -46,6 +50,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_decontamination": op4_decontamination,
     "op5_toxicity": op5_toxicity,
     "op6_main_text": op6_main_text,
+    "op7_ngram_join": op7_ngram_join,
     "op8_language": op8_language,
     "op10_mixing": op10_mixing,
 }
@@ -106,6 +111,26 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM doc LEFT JOIN word USING (r) LEFT JOIN own USING (r)
 """
 
+SQL["op7_ngram_join"] = """
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, CASE WHEN len(w) < 3 THEN array_to_string(w, ' ') ELSE array_to_string(w[i:i + 2], ' ') END AS k
+  FROM d, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS t(i) WHERE len(w) > 0
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), c AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.k = b.k AND a.doc_id <> b.doc_id GROUP BY ALL
+), l AS (
+  SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 90 * (x.n + y.n - c)
+), r AS (
+  SELECT doc_id AS a, doc_id AS m FROM documents UNION SELECT l.a, r.m FROM r JOIN l ON l.b = r.a
+), g AS (
+  SELECT a, min(m) AS component_id FROM r GROUP BY a
+)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id FROM documents d JOIN g ON g.a = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
+"""
+
 SQL["op10_mixing"] = """
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size, coalesce(md5(doc_id::VARCHAR), '') AS o FROM documents
