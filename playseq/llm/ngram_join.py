@@ -30,13 +30,20 @@ WORDS, PERCENT = 3, 90
 #: Ratio of the largest to the smallest size in a band.
 BAND = 1.2
 #: Texts the cost model looks at, and the most characters of one of them.
-SAMPLE, SAMPLE_CHARS = 3000, 50_000
+SAMPLE, SAMPLE_CHARS = 2000, 50_000
 #: Ids that may be sent to every task: 8 bytes each.
 SMALL = 1_000_000
 #: 64-bit words of the parity sketch.
 SKETCH = 8
-#: Bytes hashed at a time.
-CHUNK = 2_000_000
+#: Bytes hashed, and rows answered, at a time.
+CHUNK, ROWS = 1_000_000, 500
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i in range(0, batch.num_rows, ROWS):
+            yield batch.slice(i, ROWS)
+
 
 _U = np.uint64
 _random = np.random.default_rng(20)
@@ -247,7 +254,7 @@ def _verified(pairs: DataFrame, documents: DataFrame, words: int, percent: int)
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             made = shingle_sets(batch.column(1).cast(pa.binary()).to_pylist(), words)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.view(np.int64) for s in made], pa.list_(pa.int64()))], names=["id", "elements"])
 
@@ -280,7 +287,7 @@ def near_duplicates(documents: DataFrame, *, words: int = WORDS, percent: int =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
-        for batch in batches:
+        for batch in _slices(batches):
             made = shingle_sets(batch.column(1).cast(pa.binary()).to_pylist(), words)
             prints = [_fingerprint(s) for s in made]
             yield pa.RecordBatch.from_arrays(

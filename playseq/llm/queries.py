@@ -5,15 +5,25 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from playseq.llm import decontaminate, embeddings, html, langid, mixing, ngram_join, toxicity, warc
+from playseq.llm import decontaminate, embeddings, html, langid, mixing, ngram_join, pii, secret_scan, toxicity, warc
 from playseq.llm.common import table
 
+#: Key of the pseudonyms of this query; a real run takes its own from a secret store.
+KEY = "query-key"
+
 
 def op1_warc(spark: SparkSession, folder: str) -> DataFrame:
     return warc.archived(table(spark, folder, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op2_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    """Findings with their score; values are given as digests only."""
+    found = secret_scan.scan(table(spark, folder, "documents"))
+    return found.select("doc_id", "path", "start", F.length("value").alias("length"), F.sha2(F.col("value").cast("binary"), 256).alias("value_sha256"), "score", "secret")
+
+
 def op3_near_vectors(spark: SparkSession, folder: str) -> DataFrame:
     return embeddings.near_duplicates(table(spark, folder, "embeddings")).select("vec_id", "n_links", "component_id", "kept")
 
@@ -39,6 +49,10 @@ def op8_language(spark: SparkSession, folder: str) -> DataFrame:
     return langid.identify(table(spark, folder, "documents")).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op9_pseudonyms(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.pseudonymise(table(spark, folder, "documents"), key=KEY)
+
+
 def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
     mixed = mixing.in_training_order(mixing.mix(table(spark, folder, "documents")))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "position")
@@ -46,12 +60,14 @@ def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
+    "op2_secrets": op2_secrets,
     "op3_near_vectors": op3_near_vectors,
     "op4_decontamination": op4_decontamination,
     "op5_toxicity": op5_toxicity,
     "op6_main_text": op6_main_text,
     "op7_ngram_join": op7_ngram_join,
     "op8_language": op8_language,
+    "op9_pseudonyms": op9_pseudonyms,
     "op10_mixing": op10_mixing,
 }
 
