@@ -54,6 +54,12 @@ def feed_games(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "events").select(F.col("user_id").alias("game_id")).distinct()
 
 
+def all_games(spark: SparkSession, folder: str) -> DataFrame:
+    """Games of the feed, and a game without any event for each customer without one."""
+    customers = table(spark, folder, "customer").select(F.col("c_custkey").cast("bigint").alias("game_id"))
+    return feed_games(spark, folder).select("game_id").union(customers).distinct()
+
+
 # -- scalars and classification ------------------------------------------------------------------
 
 
@@ -239,10 +245,9 @@ def scoreboard_lag(spark, folder):
 
 @query
 def final_score(spark, folder):
-    """Some games have no entries before day 20; they end 0 to 0."""
-    entries = on_entries(spark, folder, lambda df, seq: df.select("game_id", "ord", "home_score", "away_score", "wallclock"))
-    late = entries.where(F.col("wallclock") >= "2024-01-20")
-    return scoring.final_score(feed_games(spark, folder), late).select("game_id", "actual_home", "actual_away")
+    """Customers without events are games without entries; they end 0 to 0."""
+    entries = on_entries(spark, folder, lambda df, seq: df.select("game_id", "ord", "home_score", "away_score"))
+    return scoring.final_score(all_games(spark, folder), entries).select("game_id", "actual_home", "actual_away")
 
 
 @query
@@ -364,20 +369,17 @@ def alert_feed(spark, folder):
 @query
 def clean_games(spark, folder):
     counts = on_entries(spark, folder, lambda df, seq: df.select("game_id")).groupBy("game_id").agg(F.count("*").alias("play_count"))
-    scores = entry_issues(spark, folder).where(F.col("type").isin("bundled_score_artifact", "stuck_clock"))
-    return alerts.clean_game_alerts(feed_games(spark, folder), scores, counts)
+    return alerts.clean_game_alerts(all_games(spark, folder), entry_issues(spark, folder), counts)
 
 
 @query
 def issue_games(spark, folder):
-    drops = entry_issues(spark, folder).where(F.col("type").isin("bundled_score_artifact", "invalid_score_jump"))
-    return alerts.only_with_issues(feed_games(spark, folder), drops)
+    return alerts.only_with_issues(all_games(spark, folder), entry_issues(spark, folder))
 
 
 @query
 def has_alert(spark, folder):
-    found = entry_issues(spark, folder).where(F.col("type") == "bundled_score_artifact")
-    return alerts.with_alert_mark(feed_games(spark, folder), found)
+    return alerts.with_alert_mark(all_games(spark, folder), entry_issues(spark, folder))
 
 
 @query

@@ -105,12 +105,15 @@ on_feed("pat_split_rows", f"SELECT game_id, ord, {ENTRY} FROM {{src}}", O.infer,
 
 # -- sequence operators on entries
 
+_ALL_GAMES = "(SELECT user_id AS game_id FROM events UNION SELECT c_custkey FROM customer)"
+
+
 on_entries("fill_field_position", "SELECT game_id, ord, position_before, field_position FROM {src}", O.fill)
 on_entries("scoreboard_lag", "SELECT game_id, ord, home_score, away_score FROM {src}", O.lagged)
 on_entries(
     "final_score",
-    """SELECT game_id, coalesce(h, 0) AS actual_home, coalesce(a, 0) AS actual_away FROM (SELECT DISTINCT user_id AS game_id FROM events)
-    LEFT JOIN (SELECT game_id, arg_max(home_score, ord) AS h, arg_max(away_score, ord) AS a FROM {src} WHERE wallclock >= '2024-01-20' GROUP BY 1)
+    f"""SELECT game_id, coalesce(h, 0) AS actual_home, coalesce(a, 0) AS actual_away FROM {_ALL_GAMES}
+    LEFT JOIN (SELECT game_id, arg_max(home_score, ord) AS h, arg_max(away_score, ord) AS a FROM {{src}} GROUP BY 1)
     USING (game_id)""",
 )
 on_entries("ep_autofix", "SELECT game_id, ord, down, home_score, away_score, fix_note FROM {src}", O.autofix)
@@ -171,19 +174,18 @@ _GAMES = "(SELECT DISTINCT user_id AS game_id FROM events)"
 on_entries(
     "clean_games",
     f"""SELECT game_id, 'OK' AS severity, 'ok' AS type, 'No issues found — ' || (SELECT count(*) FROM entryfeed e WHERE e.game_id = g.game_id)
-    || ' plays checked' AS message FROM {_GAMES} g
-    WHERE NOT EXISTS (SELECT 1 FROM {{src}} i WHERE i.game_id = g.game_id AND i.type IN ('bundled_score_artifact', 'stuck_clock'))""",
+    || ' plays checked' AS message FROM {_ALL_GAMES} g
+    WHERE NOT EXISTS (SELECT 1 FROM {{src}} i WHERE i.game_id = g.game_id)""",
     _entry_issues,
 )
 on_entries(
     "issue_games",
-    f"""SELECT game_id FROM {_GAMES} g WHERE EXISTS (SELECT 1 FROM {{src}} i WHERE i.game_id = g.game_id
-    AND i.type IN ('bundled_score_artifact', 'invalid_score_jump') AND i.severity IN ('ERROR', 'WARNING'))""",
+    f"""SELECT game_id FROM {_ALL_GAMES} g WHERE EXISTS (SELECT 1 FROM {{src}} i WHERE i.game_id = g.game_id AND i.severity IN ('ERROR', 'WARNING'))""",
     _entry_issues,
 )
 on_entries(
     "has_alert",
-    f"SELECT game_id, game_id IN (SELECT game_id FROM {{src}} WHERE type = 'bundled_score_artifact') AS has_alert FROM {_GAMES}",
+    f"SELECT game_id, game_id IN (SELECT game_id FROM {{src}}) AS has_alert FROM {_ALL_GAMES}",
     _entry_issues,
 )
 SQL["stale_games"] = """SELECT DISTINCT user_id AS game_id FROM events WHERE CAST(ts AS DATE) = DATE '2024-01-10'

@@ -69,7 +69,7 @@ def base(q: With) -> str:
     )
     q.add(
         "ev_period",
-        "SELECT *, CAST(1 + (n - 1) * 5 // cnt AS INTEGER) AS period FROM ev_n WHERE game_id % 50 <> 7 OR n <= 5",
+        "SELECT *, CAST(1 + (n - 1) * 5 // cnt AS INTEGER) AS period FROM ev_n",
     )
     q.add(
         "ev_pn",

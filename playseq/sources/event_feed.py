@@ -95,10 +95,10 @@ def _base(events: DataFrame, seq: Ordered) -> DataFrame:
     n, k = F.col("n"), F.col("k")
     # A game is cut into five periods of equal length: the first row of each follows from the count.
     period = (F.floor((n - 1) * 5 / F.col("cnt")) + 1).cast("int")
-    df = df.withColumns({"period": period, "kept": F.when(F.col("game_id") % 50 == 7, F.least("cnt", F.lit(5))).otherwise(F.col("cnt"))})
+    df = df.withColumn("period", period)
     first = F.ceil((F.col("period") - 1) * F.col("cnt") / 5)
-    after = F.least(F.ceil(F.col("period") * F.col("cnt") / 5), F.col("kept"))
-    df = df.where(n <= F.col("kept")).withColumns({"pn": n - first, "pc": after - first})
+    after = F.ceil(F.col("period") * F.col("cnt") / 5)
+    df = df.withColumns({"pn": n - first, "pc": after - first})
     pn, buy = F.col("pn"), F.col("event_type") == "purchase"
     x = F.when(F.col("game_id") % 3 == 0, pn - pn % 7).otherwise(pn)
     burnt = F.floor(x * 900 / (F.col("pc") + 1))
