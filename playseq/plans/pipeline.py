@@ -74,31 +74,37 @@ def game_headers(games: DataFrame, entries: DataFrame) -> DataFrame:
 
 
 def process_summaries(docs: DataFrame, overrides: DataFrame, canonical: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Entries and game headers of all readable summary documents, one document per game.
+    """Entries and game headers of all readable summary documents, the newest one of each game.
 
     A document is one row, which bounds the plays of a game; no key has to be cut into slices.
     """
-    docs = documents.readable(docs)
+    docs = documents.newest(documents.readable(docs), "game_id")
     headers = headers_from_summaries(docs, overrides, canonical)
     entries = entries_from_plays(plays_from_summaries(docs, headers), GAME, "league")
     return entries, game_headers(headers, entries)
 
 
 def list_games(scoreboards: DataFrame, *, league: str = "all", live_only: bool = False) -> DataFrame:
-    """Games of all readable scoreboard documents."""
-    games = documents.flatten_scoreboards(documents.readable(scoreboards))
+    """Games of the newest readable scoreboard documents."""
+    games = documents.newest_games(scoreboards)
     if league != "all":
         games = games.where(F.col("league") == league)
     return games.where(F.col("status") == "in") if live_only else games
 
 
 def check_games(
-    games: DataFrame, entries: DataFrame, *, mode: str = "historical", seen: DataFrame | None = None
+    games: DataFrame,
+    entries: DataFrame,
+    *,
+    mode: str = "historical",
+    seen: DataFrame | None = None,
+    failed: DataFrame | None = None,
 ) -> Quality:
     """Check all games: issues with resolved severity, new alerts, and the summary row.
 
     ``games`` has ``game_id``; ``entries`` come from the pipeline. Entries and issues have several
-    readers, so both are written once instead of being computed for each.
+    readers, so both are written once instead of being computed for each. ``failed`` holds the ids of games
+    that could not be read: they count as games, raise an error each, and are never clean.
     """
     entries = written(entries, "entries")
     issues = GAME.over(entries, lambda df, seq: checks.check_entries(df, seq))
@@ -107,8 +113,14 @@ def check_games(
     fresh = alerts.new_alerts(issues, seen)
     columns = ["game_id", "severity", "type", "message"]
     listed = fresh.select(*columns)
+    read = games
+    if failed is not None:
+        failed = written(failed.select("game_id").distinct(), "failed")
+        read = filter_by_keys(games, failed, ["game_id"], keep=False)
+        games = games.select("game_id").union(failed).distinct()
+        listed = listed.unionByName(alerts.failure_alerts(failed, F.lit("unreadable document")).select(*columns))
     if mode == "historical":
-        listed = listed.unionByName(alerts.clean_game_alerts(games, issues, counts).select(*columns))
+        listed = listed.unionByName(alerts.clean_game_alerts(read, issues, counts).select(*columns))
     return Quality(issues, listed, summary.summarise(games, counts, issues))
 
 
