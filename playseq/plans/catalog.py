@@ -21,6 +21,7 @@ from playseq.operators.sequence import Ordered
 from playseq.operators.storage import shared_dir, written
 from playseq.plans import pipeline
 from playseq.sources import documents, snapshots
+from playseq.sources.dims import canonical_teams, team_overrides
 from playseq.sources.event_feed import EVENT_ORDER, entry_feed, play_feed, read_events
 from playseq.sources.schemas import SCOREBOARD, SUMMARY
 from playseq.streaming import refresh
@@ -508,17 +509,22 @@ def week_date_ranges(spark, folder):
     return calendar.week_dates(requests, order_calendar(spark)).select("request_id", "season", "week", "seasontype", "dates")
 
 
+def schedule_columns() -> list:
+    """League by status, and the season columns."""
+    return [
+        F.when(F.col("o_orderstatus") == "O", "nfl").otherwise("cfb").alias("league"),
+        F.year("o_orderdate").alias("season"),
+        F.floor(F.dayofyear("o_orderdate") / 20).cast("int").alias("week"),
+        F.lit(2).alias("seasontype"),
+    ]
+
+
 def order_schedule(spark, folder) -> DataFrame:
     """Orders as a schedule: leagues by status, pro games with season columns."""
-    orders = table(spark, folder, "orders")
-    day = F.dayofyear("o_orderdate")
-    return orders.select(
+    return table(spark, folder, "orders").select(
         F.col("o_orderkey").alias("game_id"),
-        F.when(F.col("o_orderstatus") == "O", "nfl").otherwise("cfb").alias("league"),
         F.when(F.col("o_orderstatus") == "P", "in").otherwise("post").alias("status"),
-        F.year("o_orderdate").alias("season"),
-        F.floor(day / 20).cast("int").alias("week"),
-        F.lit(2).alias("seasontype"),
+        *schedule_columns(),
         order_day().alias("game_date"),
     )
 
@@ -676,7 +682,7 @@ def entry_changes(spark, folder):
 # -- documents -----------------------------------------------------------------------------------
 
 
-def scoreboard_texts(spark, folder) -> DataFrame:
+def scoreboard_texts(spark, folder, *extra) -> DataFrame:
     """One scoreboard document per order: scores as number, text or object, sides missing or doubled."""
     key = F.col("o_orderkey")
     orders = table(spark, folder, "orders")
@@ -717,7 +723,15 @@ def scoreboard_texts(spark, folder) -> DataFrame:
         F.lit(',"status":'), status, F.lit(',"competitors":['), sides, F.lit("]}]}]}"),
     )
     cut = F.when(key % 50 == 49, F.substring(text, 1, 40)).otherwise(text)
-    return orders.select(F.lit("cfb").alias("league"), key.alias("doc_id"), cut.alias("document"))
+    return orders.select(*(extra or [F.lit("cfb").alias("league")]), key.alias("doc_id"), cut.alias("document"))
+
+
+LANDING = ("league", "season", "seasontype", "week")
+
+
+def landed(docs: DataFrame, path: str) -> None:
+    """Write documents into a landing area: one file of lines per folder, newer than what is there."""
+    docs.repartition(*LANDING).select("document", *LANDING).write.mode("append").partitionBy(*LANDING).text(path)
 
 
 @query
@@ -727,6 +741,18 @@ def json_games(spark, folder):
     return games.drop("doc_id", "kickoff").withColumn("game_date", F.col("game_date").cast("string"))
 
 
+@query
+def json_week_games(spark, folder):
+    """One week's games, read from landing files: the newer file of a folder replaces its games."""
+    path = f"{shared_dir(spark)}/playseq/boards-{uuid.uuid4().hex}"
+    texts = scoreboard_texts(spark, folder, *schedule_columns())
+    landed(texts.withColumn("document", F.replace("document", F.lit('"now"'), F.lit('"old"'))), path)
+    landed(texts.where(F.col("doc_id") % 13 != 0), path)
+    games = documents.with_game_date(pipeline.list_games(documents.read_scoreboards(spark, path, multi_line=False)))
+    found = calendar.games_of_week(games, order_calendar(spark), season=1998, week=5)
+    return found.drop("kickoff", "fetched_at").withColumn("game_date", F.col("game_date").cast("string"))
+
+
 @query
 def json_dead_letters(spark, folder):
     docs = documents.parse_column(scoreboard_texts(spark, folder), "document", SCOREBOARD)
@@ -734,19 +760,19 @@ def json_dead_letters(spark, folder):
     return alerts.failure_alerts(failed, F.lit("unreadable document"))
 
 
-def summary_texts(spark, folder) -> DataFrame:
-    """Game summaries of up to 300 consecutive event ids of one user; plays are grouped into drives.
+def summary_texts(spark, folder, span: int = 300) -> DataFrame:
+    """Game summaries of up to ``span`` consecutive event ids of one user; plays are grouped into ten drives.
 
     A document is bounded by its id range, so no user makes a large one.
     """
     events = read_events(table(spark, folder, "events"))
-    chunk = F.floor(F.col("event_id") / 300)
-    number = F.col("event_id") % 300
+    chunk = F.floor(F.col("event_id") / span)
+    number = F.col("event_id") % span
     k = F.col("k")
     none = F.lit(None)
     play = F.struct(
         F.col("event_id").cast("string").alias("id"),
-        F.when(k % 17 != 0, (300 - number).cast("string")).alias("sequenceNumber"),
+        F.when(k % 17 != 0, (span - number).cast("string")).alias("sequenceNumber"),
         F.when(k == 30, "Official timeout on the field").otherwise(F.col("event_type")).alias("text"),
         F.struct(F.lit("5").alias("id"), F.when(k == 20, "Coin Toss").otherwise(F.initcap("event_type")).alias("text")).alias("type"),
         F.when(k % 5 != 0, F.struct(clock_text(F.col("v") * 3).alias("displayValue"))).alias("clock"),
@@ -762,7 +788,7 @@ def summary_texts(spark, folder) -> DataFrame:
         .when(k % 9 == 1, F.struct(none.cast("string").alias("text"), none.cast("int").alias("value")))
         .alias("pointAfterAttempt"),
     )
-    plays = events.select("game_id", chunk.alias("chunk"), (F.floor(number / 30)).alias("drive"), "event_id", play.alias("play"))
+    plays = events.select("game_id", chunk.alias("chunk"), F.floor(number / (span // 10)).alias("drive"), "event_id", play.alias("play"))
     drives = plays.groupBy("game_id", "chunk", "drive").agg(
         F.transform(F.sort_array(F.collect_list(F.struct("event_id", "play"))), lambda p: p["play"]).alias("plays")
     )
@@ -803,9 +829,26 @@ def json_plays(spark, folder):
 
 
 @query
-def json_headers(spark, folder):
-    from playseq.sources.dims import canonical_teams, team_overrides
+def json_entries(spark, folder):
+    """Entries from two versions of each summary; numbers of the newer one come as texts and with decimals too."""
+    texts = summary_texts(spark, folder, 30_000)
+    older = F.replace("document", F.lit('"text":"'), F.lit('"text":"Old '))
+    newer = F.regexp_replace("document", '"homeScore":([0-9]*[02468]),', '"homeScore":"$1",')
+    newer = F.regexp_replace(newer, '"statYardage":([0-9]+),', '"statYardage":$1.0,')
+
+    def version(document, day: str, name: str) -> DataFrame:
+        stamps = {"document": document, "fetched_at": F.lit(day).cast("timestamp"), documents.FILE: F.lit(name)}
+        return documents.parse_column(texts.withColumns(stamps), "document", SUMMARY)
 
+    docs = version(older, "2024-01-01", "b").unionByName(version(newer, "2024-01-02", "a"))
+    canonical = canonical_teams(spark, ["Texas", "Texas Tech"])
+    entries, _ = pipeline.process_summaries(docs, team_overrides(spark), canonical)
+    extra = ("play_index", "qc_issue", "gap_note", "fix_note", "is_placeholder")
+    return entries.select("game_id", "league", *mapping.ENTRY_COLUMNS, *extra)
+
+
+@query
+def json_headers(spark, folder):
     canonical = canonical_teams(spark, ["Texas", "Texas Tech"])
     headers = pipeline.headers_from_summaries(summary_docs(spark, folder), team_overrides(spark), canonical)
     return headers.select("game_id", "league", "status", "home_team_id", "home_name", "home_abbrev", "away_name")

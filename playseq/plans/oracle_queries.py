@@ -327,32 +327,65 @@ on_entries(
 
 # -- documents: the flattened result straight from the tables
 
-SQL["json_games"] = """WITH o AS (SELECT *, o_orderkey AS key, CAST(floor(o_totalprice % 60) AS INTEGER) AS points FROM orders)
-SELECT 'cfb' AS league, CAST(key AS VARCHAR) AS game_id, 'Team HOM ' || o_custkey AS home_team, 'HOM' AS home_abbrev,
+_GAME = """CAST(key AS VARCHAR) AS game_id, 'Team HOM ' || o_custkey AS home_team, 'HOM' AS home_abbrev,
 CASE WHEN key % 4 = 3 THEN 0 ELSE points END AS home_score, key || 'HOM' AS home_team_id, 'Team AWY ' || o_custkey AS away_team,
 'AWY' AS away_abbrev, CASE WHEN key % 4 = 3 THEN 0 ELSE points END AS away_score, key || 'AWY' AS away_team_id,
-CASE WHEN key % 6 = 0 THEN 'pre' ELSE 'in' END AS status, CASE WHEN key % 6 = 0 THEN '' ELSE 'now' END AS status_detail,
+CASE WHEN key % 6 = 0 THEN 'pre' ELSE 'in' END AS status, CASE WHEN key % 6 = 0 THEN '' ELSE detail END AS status_detail,
 CAST(CASE WHEN key % 6 = 0 THEN 0 ELSE key % 4 + 1 END AS INTEGER) AS period, CASE WHEN key % 6 = 0 THEN '0:00' ELSE '7:30' END AS clock,
 CASE WHEN key % 2 <> 0 THEN '' WHEN key % 3 = 0 THEN 'SN' WHEN key % 3 = 1 THEN 'Long' ELSE '' END AS conference,
-strftime(o_orderdate, '%Y-%m-%dT%H:%MZ') AS date, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS game_date
-FROM o WHERE key % 15 <> 7 AND key % 50 <> 49"""
+strftime(o_orderdate, '%Y-%m-%dT%H:%MZ') AS date, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS game_date"""
+_POINTS = "o_orderkey AS key, CAST(floor(o_totalprice % 60) AS INTEGER) AS points"
+SQL["json_games"] = f"""WITH o AS (SELECT *, {_POINTS}, 'now' AS detail FROM orders)
+SELECT 'cfb' AS league, {_GAME} FROM o WHERE key % 15 <> 7 AND key % 50 <> 49"""
+# A folder keeps its older file only if the newer one has nothing that can be read.
+SQL["json_week_games"] = f"""{_CALENDAR}, {_SCHEDULE},
+o AS (SELECT o.*, {_POINTS}, s.league, s.season, s.week, s.gd, key % 50 <> 49 AS good, key % 13 <> 0 AS listed
+  FROM orders o JOIN schedule s ON s.game_id = o_orderkey),
+f AS (SELECT *, bool_or(good AND listed) OVER (PARTITION BY league, season, week) AS renewed FROM o),
+g AS (SELECT league, season, 2 AS seasontype, week, gd, {_GAME}
+  FROM (SELECT *, CASE WHEN renewed THEN 'now' ELSE 'old' END AS detail FROM f) WHERE good AND (listed OR NOT renewed) AND key % 15 <> 7)
+SELECT * EXCLUDE (gd) FROM g WHERE league = 'nfl' AND season = 1998 AND week = 5
+UNION ALL SELECT g.* EXCLUDE (gd) FROM g, weeks w WHERE league <> 'nfl' AND w.season = 1998 AND w.week = 5 AND gd BETWEEN start_date AND end_date"""
 SQL["json_dead_letters"] = """SELECT o_orderkey AS game_id, 'ERROR' AS severity, 'fetch_failed' AS type,
 'Failed to fetch plays: unreadable document' AS message FROM orders WHERE o_orderkey % 50 = 49"""
-_DOCS = """WITH e AS (SELECT *, CAST(regexp_extract(props, '"k": *([0-9]+)', 1) AS INTEGER) AS k, CAST(floor(value) AS INTEGER) AS v,
-  event_id // 300 AS chunk, event_id % 300 AS num, (event_id % 300) // 30 AS drive FROM events),
-d AS (SELECT *, max(drive) OVER (PARTITION BY user_id, chunk) AS last_drive, min(drive) OVER (PARTITION BY user_id, chunk) AS first_drive,
-  user_id || '-' || chunk AS game_id FROM e)"""
-SQL["json_plays"] = f"""{_DOCS}
-SELECT game_id, row_number() OVER (PARTITION BY game_id ORDER BY CASE WHEN k % 17 = 0 THEN 0 ELSE 300 - num END, event_id) AS ord,
-CAST(event_id AS VARCHAR) AS play_id, CASE WHEN k % 17 = 0 THEN 0 ELSE 300 - num END AS sequence_number, 0 AS drive_group,
-CASE WHEN drive % 2 = 0 THEN 'H' ELSE 'A' END AS drive_team_id, CAST(k % 4 + 1 AS INTEGER) AS period,
-CASE WHEN k % 5 = 0 THEN '0:00' ELSE {O.clock('(v * 3)')} END AS clock, upper(event_type[1]) || substr(event_type, 2) AS play_type_text,
-5 AS play_type_id, event_type AS description, v AS home_score, k % 40 AS away_score, k % 4 AS start_down, k % 12 AS start_distance,
-CASE WHEN k % 4 <> 0 THEN k END AS yards_to_endzone, CASE WHEN k % 7 <> 0 THEN v % 25 ELSE 0 END AS stat_yardage, k % 2 = 0 AS scoring_play,
-k % 7 AS score_value, k % 3 AS end_down, CASE WHEN k % 9 = 0 THEN 'Kick good' END AS pat_text, CASE WHEN k % 9 = 0 THEN 1 END AS pat_value,
-CASE WHEN k % 7 = 0 THEN 1 ELSE 0 END AS null_defaulted FROM d WHERE k NOT IN (20, 30)"""
-SQL["json_headers"] = f"""{_DOCS} SELECT DISTINCT game_id, 'cfb' AS league, CASE WHEN user_id % 5 = 0 THEN 'in' ELSE 'post' END AS status,
-'H' AS home_team_id, 'Texas Tech' AS home_name, 'TTU' AS home_abbrev, 'App State' AS away_name FROM d"""
+
+
+def _documents(q: With, span: int) -> str:
+    """Events by document."""
+    q.add(
+        "e",
+        f"""SELECT *, CAST(regexp_extract(props, '"k": *([0-9]+)', 1) AS INTEGER) AS k, CAST(floor(value) AS INTEGER) AS v,
+        event_id // {span} AS chunk, event_id % {span} AS num, (event_id % {span}) // {span // 10} AS drive FROM events""",
+    )
+    return q.add("d", "SELECT *, user_id || '-' || chunk AS game_id FROM e")
+
+
+def _document_plays(q: With, span: int) -> str:
+    number = f"CASE WHEN k % 17 = 0 THEN 0 ELSE {span} - num END"
+    return q.add(
+        "doc_plays",
+        f"""SELECT game_id, row_number() OVER (PARTITION BY game_id ORDER BY {number}, event_id) AS ord,
+        CAST(event_id AS VARCHAR) AS play_id, {number} AS sequence_number, 0 AS drive_group,
+        CASE WHEN drive % 2 = 0 THEN 'H' ELSE 'A' END AS drive_team_id, CAST(k % 4 + 1 AS INTEGER) AS period,
+        CASE WHEN k % 5 = 0 THEN '0:00' ELSE {O.clock('(v * 3)')} END AS clock, upper(event_type[1]) || substr(event_type, 2) AS play_type_text,
+        5 AS play_type_id, event_type AS description, v AS home_score, k % 40 AS away_score, k % 4 AS start_down, k % 12 AS start_distance,
+        CASE WHEN k % 4 <> 0 THEN k END AS yards_to_endzone, CASE WHEN k % 7 <> 0 THEN v % 25 ELSE 0 END AS stat_yardage, k % 2 = 0 AS scoring_play,
+        k % 7 AS score_value, k % 3 AS end_down, CASE WHEN k % 9 = 0 THEN 'Kick good' END AS pat_text, CASE WHEN k % 9 = 0 THEN 1 END AS pat_value,
+        CASE WHEN k % 7 = 0 THEN 1 ELSE 0 END AS null_defaulted FROM {_documents(q, span)} WHERE k NOT IN (20, 30)""",
+    )
+
+
+_q = With()
+SQL["json_plays"] = _q.select(f"SELECT * FROM {_document_plays(_q, 300)}")
+_q = With()
+_names = "'' AS wallclock, 'H' AS home_team_id, 'A' AS away_team_id, 'Texas Tech' AS home_name, 'App State' AS away_name, 'TTU' AS home_abbrev, 'APP' AS away_abbrev"
+_found = O.pipeline(_q, _q.add("doc_feed", f"SELECT * EXCLUDE (drive_group, null_defaulted), {_names} FROM {_document_plays(_q, 30_000)}"))
+SQL["json_entries"] = _q.select(f"SELECT game_id, 'cfb' AS league, {ENTRY}, play_index, qc_issue, gap_note, fix_note, is_placeholder FROM {_found}")
+_q = With()
+SQL["json_headers"] = _q.select(
+    f"""SELECT DISTINCT game_id, 'cfb' AS league, CASE WHEN user_id % 5 = 0 THEN 'in' ELSE 'post' END AS status,
+    'H' AS home_team_id, 'Texas Tech' AS home_name, 'TTU' AS home_abbrev, 'App State' AS away_name FROM {_documents(_q, 300)}"""
+)
 
 # -- pipelines
 
