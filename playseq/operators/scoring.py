@@ -10,6 +10,9 @@ from playseq.functions.text import score_rises
 from playseq.operators.sequence import GAME, Ordered
 
 CONVERSION_TYPE = "struct<text:string,value:int>"
+SCORE = "struct<home:int,away:int>"
+# Rows of a run that are folded before their results are appended.
+BLOCK = 512
 
 # Rise of the score on a touchdown, and the conversion it stands for.
 CONVERSION_BY_RISE = {
@@ -108,30 +111,53 @@ def _repaired(prev: Column, row: Column) -> Column:
     )
 
 
+def _folded(rows: Column) -> Column:
+    """For each row of a run, in order: the repaired score before it (null for the first) and its own.
+
+    Each step of a fold copies its state. Blocks keep that short: the cost grows with the power 1.5 of the run's
+    length up to some hundred thousand rows, instead of its square.
+    """
+
+    def step(state: Column, nth: Column) -> Column:
+        row = F.get(rows, nth)
+        before, given = state["last"], F.struct(row["home_score"].cast("int").alias("home"), row["away_score"].cast("int").alias("away"))
+        score = F.when(before.isNull(), given).otherwise(_repaired(before, given))
+        both = F.struct(before.alias("before"), score.alias("score"))
+        return F.struct(score.alias("last"), F.concat(state["steps"], F.array(both)).alias("steps"))
+
+    def block(done: Column, nth: Column) -> Column:
+        none = F.array().cast(f"array<struct<before:{SCORE},score:{SCORE}>>")
+        start = F.struct(F.try_element_at(done, F.lit(-1))["last"].alias("last"), none.alias("steps"))
+        # Rows are read by number: a slice of the run would copy it.
+        numbers = F.sequence(nth * BLOCK, F.least(nth * BLOCK + BLOCK, F.size(rows)) - 1)
+        return F.concat(done, F.array(F.aggregate(numbers, start, step)))
+
+    blocks = F.sequence(F.lit(0), F.floor((F.size(rows) - 1) / BLOCK).cast("int"))
+    empty = F.array().cast(f"array<struct<last:{SCORE},steps:array<struct<before:{SCORE},score:{SCORE}>>>>")
+    return F.flatten(F.transform(F.aggregate(blocks, empty, block), lambda done: done["steps"]))
+
+
 def repair_conversion_scores(df: DataFrame, seq: Ordered = GAME) -> DataFrame:
     """On conversion rows, give points back to the side whose score fell against the repaired row before.
 
     The repair of a row depends on the repaired row before it, but only within a run of adjacent
-    conversion rows: every other row keeps its score and starts a new run. The rule is folded over the
-    handful of rows of such a run. Adds ``fix_note`` and the number of the run, ``conversion_run``.
+    conversion rows: every other row keeps its score and starts a new run. The rule is folded once over
+    each run, which stays in the partition of its game. Adds ``fix_note`` and the number of the run,
+    ``conversion_run``.
     """
     original = df.columns
-    conversion = F.col("down").isin(*CONVERSION_DOWNS)
-    opens = F.when(conversion, F.lit(0)).otherwise(F.lit(1)).cast("bigint")
+    opens = F.when(F.col("down").isin(*CONVERSION_DOWNS), F.lit(0)).otherwise(F.lit(1)).cast("bigint")
     df = seq.running(df, conversion_run=("sum", opens))
-    row = F.struct(F.col("home_score").cast("int").alias("home"), F.col("away_score").cast("int").alias("away"))
-    so_far = seq.window("conversion_run").rowsBetween(Window.unboundedPreceding, 0)
-    df = df.withColumns({"_row": row, "_rows": F.collect_list(row).over(so_far)})
-    rows = F.col("_rows")
-    between = F.slice(rows, 2, F.greatest(F.size(rows) - 2, F.lit(0)))
-    before = F.when(conversion & (F.size(rows) > 1), F.aggregate(between, F.get(rows, 0), _repaired))
-    df = df.withColumn("_before", before)
-    prev, this = F.col("_before"), F.col("_row")
-    fixed = F.when(prev.isNull(), this).otherwise(_repaired(prev, this))
+    run = [*seq.keys, "conversion_run"]
+    row = F.struct(*seq.order, *[c for c in original if c not in {*seq.keys, *seq.order}])
+    runs = df.groupBy(*run).agg(F.sort_array(F.collect_list(row)).alias("_rows"))
+    rows = F.inline(F.arrays_zip("_rows", _folded(F.col("_rows")))).alias("_row", "_step")
+    df = runs.select(*run, rows).select(*run, "_row.*", F.col("_step.before").alias("_before"), F.col("_step.score").alias("_fixed"))
+    prev, this = F.col("_before"), F.struct(F.col("home_score").alias("home"), F.col("away_score").alias("away"))
     note = F.when(_home_was_cut(prev, this), F.format_string(HOME_RESTORED, prev["home"] - this["home"])).when(
         _away_was_cut(prev, this), F.format_string(AWAY_RESTORED, prev["away"] - this["away"])
     )
-    df = df.withColumns({"_fixed": fixed, "fix_note": F.coalesce(note, F.lit(""))})
+    df = df.withColumn("fix_note", F.coalesce(note, F.lit("")))
     df = df.withColumns({"home_score": F.col("_fixed")["home"], "away_score": F.col("_fixed")["away"]})
     return df.select(*original, "conversion_run", "fix_note")
 

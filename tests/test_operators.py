@@ -241,3 +241,28 @@ def test_clock_never_rises_and_conversion_rows_add_up(spark):
     for a, b in zip(rows, rows[1:]):
         if a.game_id == b.game_id and a.period == b.period and a.game_id in long_games:
             assert seconds(b.clock) <= seconds(a.clock)
+
+
+def test_score_repair_of_a_long_run(spark):
+    """One game of adjacent conversion rows, whole and cut into slices, against a plain loop."""
+    n = 100_000
+    rows = spark.range(n).select(
+        F.lit(1).alias("game_id"),
+        (F.col("id") + 1).alias("ord"),
+        F.lit("EP").alias("down"),
+        (F.col("id") / 3 - F.col("id") % 5).cast("int").alias("home_score"),
+        (F.col("id") / 4 + F.col("id") % 7).cast("int").alias("away_score"),
+    )
+    want, last = [], None
+    for r in rows.orderBy("ord").collect():
+        home, away = r.home_score, r.away_score
+        if last and home < last[0] and away >= last[1]:
+            home, away = last[0], home + away - last[0]
+        elif last and away < last[1] and home >= last[0]:
+            home, away = home + away - last[1], last[1]
+        last = (home, away)
+        want.append(last)
+    whole = scoring.repair_conversion_scores(rows)
+    cut, ordered = GAME.slice(rows, 20_000)
+    for found in (whole, scoring.repair_conversion_scores(cut, ordered)):
+        assert [tuple(r) for r in found.orderBy("ord").select("home_score", "away_score").collect()] == want
