@@ -11,6 +11,8 @@ from playseq.operators.storage import written
 
 #: Least score of a language; with four languages, chance is a quarter.
 LEAST_SCORE = 0.35
+#: Words of a shingle, and the percentage of common shingles from which documents are near duplicates.
+NEAR_WORDS, NEAR_PERCENT = 5, 80
 
 
 def _packed(docs: DataFrame) -> DataFrame:
@@ -26,7 +28,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document with the smallest id stays; repeated rows of an id stay once."""
-    found = written(ngram_join.near_duplicates(docs), "groups")
+    found = written(ngram_join.near_duplicates(docs, words=NEAR_WORDS, percent=NEAR_PERCENT), "groups")
     gone = written(found.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
     kept = docs.join(F.broadcast(gone) if gone.count() <= ngram_join.SMALL else gone, "doc_id", "left_anti").select(*docs.columns)
     again = written(found.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id"), "again")

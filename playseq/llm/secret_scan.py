@@ -166,8 +166,8 @@ def redact(documents: DataFrame, mark: str = "[SECRET]", path: str = "source") -
     Whole values are replaced, the same value everywhere in the corpus. Rows, null texts and all other columns stay.
     """
     columns = documents.columns
-    # Documents with a null id share one key: what is secret in one of them is replaced in all.
-    documents = documents.withColumn("_key", F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    # Documents with a null id go by their texts, so that they don't meet in one group.
+    documents = documents.withColumn("_key", F.coalesce(F.concat(F.lit("i"), F.col("doc_id").cast("string")), F.sha2(F.col("text").cast("binary"), 256)))
     found = written(candidates(documents, ("_key",), path), "candidates")
     secret = classify(found, fit(found.withColumn("label", known_labels()))).where("secret").select("value").distinct()
     secret = written(secret, "secrets")

@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import re
 
 import numpy as np
 import pytest
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from playseq.llm import components, embeddings, html, mixing, ngram_join, queries, warc
+from playseq.llm import components, embeddings, html, mixing, ngram_join, queries, secret_scan, warc
 from playseq.llm.common import table
 from tests.conftest import SF, collected
 from tools.compare import TABLES, rows
@@ -108,12 +109,20 @@ def test_vectors_against_all_pairs(spark):
     assert embeddings.near_duplicates(df.limit(0)).count() == 0
 
 
-def _shingles(text):
-    w = (text or "").lower().split()
-    return {tuple(w[i : i + 3]) for i in range(max(1, len(w) - 2))} if w else set()
+def _shingles(text, k=3):
+    w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]+", lambda m: m[0].lower(), text or ""))
+    return {tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set()
 
 
-def test_ngram_join_against_all_pairs(spark):
+def _labels(texts, k, percent):
+    """Smallest id reachable by links, from all pairs."""
+    sets = {i: _shingles(t, k) for i, t in texts.items()}
+    links = [(a, b) for a, b in itertools.combinations(sets, 2) if sets[a] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])]
+    return sets, _minimum(sets, links)
+
+
+@pytest.mark.parametrize("words, percent", [(3, 90), (5, 80)])
+def test_ngram_join_against_all_pairs(spark, words, percent):
     rng = random.Random(8)
     vocabulary = [f"w{i}" for i in range(300)]
     texts = []
@@ -130,14 +139,12 @@ def test_ngram_join_against_all_pairs(spark):
                 texts.append(other)
     data = [(i, " ".join(t)) for i, t in enumerate(texts)] + [(5000, None), (5001, ""), (5002, "One"), (5003, "one"), (5004, "a b"), (5005, "A\tb\n"), (None, "one"), (5006, "lost " * 50_000)]
     df = spark.createDataFrame(data, "doc_id long, text string").withColumn("n", F.lit(1))
-    sets = {i: _shingles(t) for i, t in data if i is not None}
-    links = [(a, b) for a, b in itertools.combinations(sets, 2) if sets[a] and 100 * len(sets[a] & sets[b]) >= 90 * len(sets[a] | sets[b])]
-    label = _minimum(sets, links)
-    got = {r.doc_id: r for r in ngram_join.near_duplicates(df).collect()}
+    sets, label = _labels({i: t for i, t in data if i is not None}, words, percent)
+    got = {r.doc_id: r for r in ngram_join.near_duplicates(df, words=words, percent=percent).collect()}
     assert {i: r.n_shingles for i, r in got.items() if i is not None} == {i: len(s) for i, s in sets.items()}
     assert {i: r.component_id for i, r in got.items() if i is not None} == label
     assert got[None].component_id is None
-    assert ngram_join.near_duplicates(df.limit(0)).count() == 0
+    assert ngram_join.near_duplicates(df.limit(0), words=words, percent=percent).count() == 0
 
 
 def test_any_allotment_finds_similar_sets():
@@ -214,18 +221,56 @@ def test_schedule_is_inverted(spark, knots):
         assert abs(spent(t) - q) < 1e-9
 
 
+def _clean(texts, items):
+    """Ids of the texts that hold no window of an item, by comparing all windows."""
+
+    def windows(words, n):
+        return {tuple(words[i : i + n]) for i in range(len(words) - n + 1)}
+
+    split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]+", lambda m: m[0].lower(), t or ""))
+    found: dict[int, set] = {}
+    for words in filter(None, map(split, items)):
+        n = min(10, len(words))
+        found.setdefault(n, set()).update(windows(words, n))
+    return {i for i, t in texts.items() if not any(windows(split(t), n) & own for n, own in found.items())}
+
+
 def test_pipeline(spark):
+    """Each stage against a plain version of it on its own input."""
     docs = table(spark, SF, "documents")
-    kept = docs
+    inputs, kept = {}, docs
     for name, stage in corpus_pipeline.STAGES[:-1]:
+        inputs[name] = {r.doc_id: r for r in kept.collect()}
         made = stage(spark, kept, SF)
         assert made.columns == docs.columns, name
         kept = spark.createDataFrame(made.collect(), docs.schema)
+    inputs["mix"] = {r.doc_id: r for r in kept.collect()}
     last = corpus_pipeline.STAGES[-1][1](spark, kept, SF)
     assert collected(corpus_pipeline.run(spark, SF)) == collected(last)
-    near = {r.doc_id for r in ngram_join.near_duplicates(docs).where("doc_id = component_id").collect()}
-    ids = {r.doc_id for r in kept.collect()}
-    assert ids <= near and 0 < len(ids) < docs.count()
+
+    # Language: documents that stay are unchanged; those that go hold no letters or are unsure.
+    assert all(inputs["language"][i] == r for i, r in inputs["near_duplicates"].items())
+    lettered = {i for i, r in inputs["language"].items() if len(re.findall(r"[^\W\d_]", r.text or "")) > 100}
+    assert len(lettered - set(inputs["near_duplicates"])) <= 0.02 * len(lettered)
+    # Near duplicates: the smallest id of each group.
+    before = {i: r.text for i, r in inputs["near_duplicates"].items()}
+    label = _labels(before, corpus_pipeline.NEAR_WORDS, corpus_pipeline.NEAR_PERCENT)[1]
+    assert set(inputs["decontamination"]) == set(label.values()) < set(before)
+    # Decontamination: documents without any window.
+    items = [r.text for r in table(spark, SF, "benchmark").collect()]
+    assert set(inputs["secrets"]) == _clean({i: r.text for i, r in inputs["decontamination"].items()}, items)
+    # Secrets: all documents stay; every value found is replaced wherever it was found.
+    before = spark.createDataFrame(list(inputs["secrets"].values()), docs.schema)
+    plain = {i: r.text for i, r in inputs["secrets"].items()}
+    for r in secret_scan.scan(before).where("secret").collect():
+        plain[r.doc_id] = plain[r.doc_id].replace(r.value, "[SECRET]")
+    assert {i: r.text for i, r in inputs["mix"].items()} == plain
+    # Mix: the words taken come near the targets, no document is taken more than twice, positions never fall.
+    taken = last.groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).collect()
+    assert all(abs(r.taken - r.target) <= 1 for r in taken)
+    rows = last.collect()
+    assert all(0 < r.taken <= 2 * r.size for r in rows)
+    assert [r.position for r in rows] == sorted(r.position for r in rows)
 
 
 def test_pipeline_edge_cases(spark):
