@@ -6,6 +6,8 @@ is allotted 0, 1 or 2 units, more units in all than elements may differ. By the
 differs in fewer elements than its units: with one unit it is equal in both sets, with two it is equal after deleting
 at most one element. So sets are indexed by their segments' subsets (one unit) and these with their one-deletion
 neighbourhoods (two units). A cost model over a sample allots the units; it changes the work, never the result.
+Small segments are often empty, and all sets with an empty segment would share its key. So a band may have spare segments
+of one unit: with e of them at least e + 1 segments are equal, and a set of at most e empty ones needs no keys for these.
 
 Sets with equal elements are joined as one. Segments met by two sets give their pair. In a segment met by more, all sets
 are paired with one hub, the set that meets others most often; what these links leave in different components is paired
@@ -111,11 +113,12 @@ def most_different(total: int, percent: int = PERCENT) -> int:
 
 @dataclass
 class Scheme:
-    """Segments of one band of sizes, and the units of each."""
+    """Segments of one band of sizes, the units of each, and how many are spare (if any, all have one unit)."""
 
     low: int
     high: int
     units: np.ndarray
+    spare: int = 0
 
 
 class Index:
@@ -127,7 +130,9 @@ class Index:
             high = max(low, int(low * max(BAND, 100 / percent + 0.01)))
             while most_different(2 * (high + 1), percent) == 0:
                 high += 1
-            self.schemes.append(Scheme(low, high, np.ones(most_different(2 * high, percent) + 1, np.int64)))
+            need = most_different(2 * high, percent) + 1
+            spare = spare_segments(need, low * percent / 100)
+            self.schemes.append(Scheme(low, high, np.ones(need + spare, np.int64), spare))
             low = high + 1
         self.lows = np.array([s.low for s in self.schemes])
 
@@ -141,7 +146,7 @@ class Index:
     def keys(self, elements: np.ndarray) -> np.ndarray:
         if not len(elements):
             return np.zeros(0, np.int64)
-        found = [k for band in self.bands(len(elements)) for k in segment_keys(elements, band, self.schemes[band].units)]
+        found = [k for band in self.bands(len(elements)) for k in segment_keys(elements, band, self.schemes[band].units, self.schemes[band].spare)]
         return np.unique(np.concatenate(found)).view(np.int64)
 
     def fit(self, sets: Sequence[np.ndarray], rows: int) -> None:
@@ -154,10 +159,12 @@ class Index:
             if len(own) >= 20:
                 scale = rows / max(1, len(sets))
                 need = most_different(2 * self.schemes[band].high, self.percent) + 1
-                spare = {0, 1, 2, need // 8}
-                options = [allot(own, band, need, need + more, scale) for more in sorted(spare)]
-                options.append(allot(own, band, need, -(-need // 2), scale))
-                self.schemes[band].units = min(options, key=lambda o: o[0])[1]
+                options = [(*allot(own, band, need, need + more, scale), 0) for more in sorted({0, 1, 2, need // 8})]
+                options.append((*allot(own, band, need, -(-need // 2), scale), 0))
+                most = len(self.schemes[band].units) - need
+                for spare in sorted({most // 4, most // 2, most} - {0}):
+                    options.append((spared_cost(own, band, need + spare, spare, scale), np.ones(need + spare, np.int64), spare))
+                _, self.schemes[band].units, self.schemes[band].spare = min(options, key=lambda o: o[0])
 
 
 def _parts(elements: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -173,10 +180,26 @@ def _key(low: np.ndarray, high: np.ndarray, segment: np.ndarray, band: int) -> n
     return mix(subset + mix(segment.astype(np.uint64) * _U(0x10001) + _U(band << 40)))
 
 
-def segment_keys(elements: np.ndarray, band: int, units: np.ndarray) -> list[np.ndarray]:
-    """Keys of the segments with units, and of the one-deletion neighbours of those with two."""
+def spare_segments(need: int, size: float) -> int:
+    """Spare segments that leave few sets of ``size`` elements with more empty ones (mean plus four deviations)."""
+    for spare in range(need):
+        mean = (need + spare) * np.exp(-size / (need + spare))
+        if mean < 0.01 or spare >= mean + 4 * np.sqrt(mean):
+            return spare
+    return 0
+
+
+def segment_keys(elements: np.ndarray, band: int, units: np.ndarray, spare: int = 0) -> list[np.ndarray]:
+    """Keys of the segments with units, and of the one-deletion neighbours of those with two.
+
+    Empty segments have no keys if there are at most ``spare`` of them (then all units are one).
+    """
     segment, low, high, lows, highs = _parts(elements, len(units))
     at = np.flatnonzero(units > 0)
+    if spare:
+        filled = np.bincount(segment, minlength=len(units)) > 0
+        if np.count_nonzero(~filled) <= spare:
+            at = np.flatnonzero(filled)
     out = [_key(lows[at], highs[at], at, band)]
     two = np.flatnonzero(units[segment] == 2)
     if len(two):
@@ -185,6 +208,13 @@ def segment_keys(elements: np.ndarray, band: int, units: np.ndarray) -> list[np.
     return out
 
 
+def spared_cost(sets: Sequence[np.ndarray], band: int, segments: int, spare: int, scale: float, pair_cost: float = 5.0) -> float:
+    """Cost, as in ``allot``, of segments of one unit of which some are spare."""
+    keys = np.concatenate([segment_keys(s, band, np.ones(segments, np.int64), spare)[0] for s in sets])
+    n = np.unique(keys, return_counts=True)[1]
+    return float(len(keys) + pair_cost * 2 * (n * (n - 1) / 2).sum() * scale) / len(sets)
+
+
 def allot(sets: Sequence[np.ndarray], band: int, need: int, segments: int, scale: float, pair_cost: float = 5.0) -> tuple[float, np.ndarray]:
     """Cheapest units found for a number of segments, with at least ``need`` units in all, and their cost.
 

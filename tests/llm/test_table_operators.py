@@ -164,6 +164,20 @@ def test_any_allotment_finds_similar_sets():
                 assert a & b
 
 
+def test_spare_segments_find_similar_sets():
+    """Also where many segments are empty, and where one set has keys of empty segments and the other has none."""
+    rng = np.random.default_rng(4)
+    for size, need in ((10, 4), (40, 9), (40, 12), (150, 34), (30, 29)):
+        for spare in {1, 3, ngram_join.spare_segments(need, size), need // 2}:
+            for _ in range(150):
+                base = np.unique(rng.integers(0, 2**63, size, dtype=np.uint64))
+                gone, new = (int(x) for x in rng.multinomial(int(rng.integers(0, need)), [0.5, 0.5]))
+                gone = min(gone, len(base) - 1)
+                other = np.unique(np.concatenate([base[gone:][rng.permutation(len(base) - gone)], rng.integers(0, 2**63, new, dtype=np.uint64)]))
+                a, b = (set(np.concatenate(ngram_join.segment_keys(s, 3, np.ones(need + spare, np.int64), spare)).tolist()) for s in (base, other))
+                assert a & b
+
+
 def test_page_text(spark):
     page = "<html><head><title>no</title><script>var a='<p>x</p>'</script></head><body><nav><a href=/>Menu</a></nav><article><h1>A &amp; B</h1><p>First   text\nhere.<p>Second <b>bold</b> text.<aside>Read on: <a href=/x>more</a></aside></article><div class='ad'>Buy this now, it is good.</div><footer>&copy; all rights</footer>"
     pages = spark.createDataFrame([(i, f"u{i}", page) for i in range(40)] + [(50, None, None), (51, "u", ""), (52, "u", "<" * 5000), (53, "u", "<div>" * 3000 + "x")], PAGES)
