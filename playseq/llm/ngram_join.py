@@ -90,7 +90,8 @@ def _sets(group: list[bytes], words: int) -> list[np.ndarray]:
     word = mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
     bounds = np.searchsorted(starts, np.cumsum([1, *(len(t) + 1 for t in group)]))
     run = word.copy()
-    for k in range(1, words):
+    # Without words[k:] no text of the group has a shingle of so many words.
+    for k in range(1, min(words, len(word))):
         run[: len(word) - k] = mix(run[: len(word) - k] * _U(3) + word[k:])
     out = []
     for a, b in zip(bounds, bounds[1:]):
