@@ -169,7 +169,8 @@ def _ratio(toxic, clean, n_toxic: int, n_clean: int):
 def sample(documents: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, clean_rows: int = CLEAN_ROWS) -> DataFrame:
     """Text and label of at most about ``toxic_rows`` and ``clean_rows`` labelled documents, outside the held-out fold.
 
-    Ids are drawn by hash from the labels, so the ids sent to every task are bounded by the two numbers.
+    Ids are drawn by hash from the labels, so the ids sent to every task are bounded by the two numbers. Of a repeated id
+    one text is learned from, the first by hash and then by text, so the bound holds for rows too.
     """
     labels = labels.where(F.col("toxic").isin(0, 1) & ~held_out() & F.col("doc_id").isNotNull())
     # A document with two labels counts as toxic.
@@ -180,7 +181,10 @@ def sample(documents: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS
     for label, most in ((0, clean_rows), (1, toxic_rows)):
         share = F.when(F.col("toxic") == label, F.lit(min(cells, cells * most // max(1, sizes.get(label, 1))))).otherwise(share)
     drawn = labels.where(F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(5)), F.lit(cells)) < share)
-    return documents.select("doc_id", "text").where("text is not null").join(F.broadcast(drawn), "doc_id").select("text", "toxic")
+    found = documents.select("doc_id", "text").where("text is not null").join(F.broadcast(drawn), "doc_id")
+    # Tasks take their minimum first, so that the rows of a repeated id do not meet.
+    first = F.min(F.struct(F.xxhash64("text").alias("hash"), F.col("text").alias("text"))).alias("first")
+    return found.groupBy("doc_id", "toxic").agg(first).select("first.text", "toxic")
 
 
 def fit(documents: DataFrame, labels: DataFrame) -> Lexicon:

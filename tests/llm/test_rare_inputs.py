@@ -2,8 +2,12 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from playseq.llm import ngram_join
+from playseq.llm import ngram_join, toxicity
+from playseq.llm.common import table
+
+MID = "/root/testdata/sf0.01"
 
 
 @pytest.mark.parametrize("n", range(6))
@@ -24,3 +28,25 @@ def test_ngram_join_of_a_tiny_table(spark):
     for n in range(1, 6):
         df = spark.createDataFrame([(7, " ".join("abcde"[:n]))], "doc_id long, text string")
         assert [(r.n_shingles, r.component_id) for r in ngram_join.near_duplicates(df, words=5, percent=80).collect()] == [(1, 7)]
+
+
+def test_repeated_id_is_learned_from_once(spark):
+    docs, labels = table(spark, MID, "documents"), table(spark, MID, "labels")
+    drawn = {r.text: r.toxic for r in toxicity.sample(docs, labels).collect()}
+    one = docs.join(labels.where("toxic = 0"), "doc_id", "left_semi").join(toxicity.sample(docs, labels).select("text"), "text", "left_semi").select("doc_id", "text").orderBy("doc_id").first()
+    again = spark.range(2000).select(F.lit(one.doc_id).alias("doc_id"), F.when(F.col("id") % 2 == 0, F.lit(one.text)).otherwise(F.concat(F.lit("scum "), F.col("id").cast("string"))).alias("text"))
+    many = docs.select("doc_id", "text").union(again)
+    rows = toxicity.sample(many, labels).collect()
+    assert len(rows) == toxicity.sample(docs, labels).count()
+    # One of the id's own texts, the same on every run; all other rows are as before.
+    assert {r.text: r.toxic for r in toxicity.sample(many.repartition(7), labels).collect()} == {r.text: r.toxic for r in rows}
+    assert len({r.text for r in rows} - set(drawn)) <= 1
+
+
+def test_copies_of_an_id_do_not_change_scores(spark):
+    docs, labels = table(spark, MID, "documents"), table(spark, MID, "labels")
+    one = toxicity.sample(docs, labels).where("toxic = 0").join(docs, "text").select("doc_id").orderBy("doc_id").first()[0]
+    copies = docs.where(F.col("doc_id") == one).crossJoin(spark.range(500)).select(*docs.columns)
+    plain, many = toxicity.fit(docs, labels), toxicity.fit(docs.union(copies), labels)
+    assert plain.weights == many.weights and list(plain.exceptions) == list(many.exceptions)
+    assert np.allclose(plain.coefficients, many.coefficients)
