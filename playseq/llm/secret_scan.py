@@ -1,7 +1,7 @@
 """Secret scan: pattern candidates, and a random forest that removes false findings.
 
 Everything is DataFrame expressions and Spark's own forest; no Python runs on the executors. A candidate is a run of
-key-like characters with a digit. The forest sees its length, its character transitions, how much of it dictionary words
+key-like characters with a digit, or any value of six or more characters directly after a credential word and : or =. The forest sees its length, its character transitions, how much of it dictionary words
 cover, its path and the words around it. It is trained on labelled findings.
 """
 
@@ -15,10 +15,15 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from playseq.operators.storage import written
+from playseq.operators.storage import local_table, written
 
-#: A run of at least 12 key characters that holds a digit; possessive, so that no text makes it backtrack.
-CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]{0,200}[0-9])[A-Za-z0-9+/_-]{12,}+={0,2}"
+# A credential word, : or = (or both), and a quote that may stand before the value; bounded, as it is looked for behind values.
+_WORD = "token|secret|passw(?:or)?d|passphrase|passwd|pwd|api[_-]?key|access[_-]?key|auth|authorization|bearer|credential|private[_-]?key"
+_TO = rf"(?i:{_WORD})s?[\"'\])]{{0,2}}\s{{0,2}}[:=]{{1,2}}\s{{0,2}}"
+#: A value assigned to a credential: all of a quoted one, or a run without spaces and quotes.
+GIVEN = rf"""(?<=")(?<={_TO}")[^"\r\n]{{6,}}+(?=")|(?<=')(?<={_TO}')[^'\r\n]{{6,}}+(?=')|(?<=[:=\s"'`])(?<={_TO}["'`]?)(?![:=])[^\s"'`]{{6,}}+"""
+#: Or a run of at least 12 key characters that holds a digit. Both are possessive, so that no text makes them backtrack.
+CANDIDATE = rf"{GIVEN}|(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]{{0,200}}[0-9])[A-Za-z0-9+/_-]{{12,}}+={{0,2}}"
 #: Most labelled findings of either class that are learned from.
 PER_CLASS = 5000
 TREES, DEPTH, SEED = 20, 6, 11
@@ -40,13 +45,38 @@ CREDENTIAL = r"(?i)(token|secret|passw(or)?d|passwd|pwd|api[_-]?key|access[_-]?k
 DIGEST = r"(?i)(sha-?[0-9]{1,3}|md5|commit|checksum|digest|hash|uuid|guid|revision|etag|build|version)"
 STANDIN = r"(?i)(example|sample|dummy|test|placeholder|changeme|xxxx|1234567|abcdef|your)"
 ASSIGNED = r"[:=]\s{0,2}[\"']?$"
+DIRECT = rf"{_TO}[\"'`]?$"
+# What is written in the place of a value: placeholders, calls, members and names of types.
+REFERENCE = r"^(\$\{.*|\$[A-Za-z_]+|\{\{.*|<.*>?|%\(?\w*\)?s?|[*.x•]+|[A-Za-z_][\w.]*(\(.*\)?|\[.*)[,;]?|[A-Za-z_]\w*(\.[A-Za-z_]\w*)+[,;()]*|(?i:none|null|nil|true|false|undefined|string|boolean|integer|optional|required|bearer|basic|digest)[,;]?)$"
+#: Values after credential words that every forest of the default labels learns from: before, value, after, label.
+EXAMPLES = [
+    *[(f'{w} = "', v, '"\n', 1.0) for w, v in [
+        ("password", "purpleMonkeyDishwasher"), ("pwd", "blueGuitarMountain"), ("passwd", "sunflower"), ("password", "Gr33n&Apple"), ("secret", "OpenSesameNow"), ("db_password", "k9$Lm2@x"),
+        ("password", "Winter#2024"), ("passphrase", "my dog has fleas"), ("pwd", "qwertyuiop"), ("password", "P@ssw0rd!"), ("token", "Zx7.Yq!pLm"), ("password", "iloveyou"), ("secret", "hush.hush!"), ("password", "7Trees+1Lake"),
+    ]],
+    *[(f"{w}{s}", v, "\n", 1.0) for w, s, v in [
+        ("password", ": ", "n0t-So.Easy!"), ("DB_PASSWORD", "=", "Gr33n&Apple"), ("pwd", "=", "letmein!"), ("password", "=", "Zebra$Cross1"), ("PASSWORD", "=", "OpenSesameNow"), ("secret", ": ", "m4ng0#tree"), ("password", "=", "dragon99"), ("token", "=", "q8.Rt!x2"),
+    ]],
+    *[(f"{w} = ", v, a, 0.0) for w, v, a in [
+        ("password", "userPassword", "\n"), ("password", "getpass.getpass()", "\n"), ("token", "process.env.TOKEN", "\n"), ("password", "self.password", "\n"), ("password", "os.environ[", '"DB"'), ("secret", "config.get(", '"secret"'),
+        ("password", "${DB_PASSWORD}", "\n"), ("token", "undefined", "\n"), ("auth", "Optional[str]", "\n"), ("token", "nextToken", "\n"), ("password", "********", "\n"), ("pwd", "currentDirectory", "\n"), ("token", "args.token,", "\n"), ("secret", "<secret>", "\n"),
+    ]],
+    *[(f"the {w}: ", v, a, 0.0) for w, v, a in [
+        ("password", "whatever", " you"), ("token", "string", "\n"), ("secret", "nobody", " knows"), ("password", "required", " field"), ("authorization", "Bearer", " x"), ("token", "expired", " today"), ("secret", "practice", " every day"), ("token", "boolean", "\n"),
+    ]],
+    *[(f'"{w}": "', v, '",', 0.0) for w, v in [
+        ("token", "access_token"), ("token", "csrf_token"), ("password", "<password>"), ("password", "{{ password }}"), ("password", "Enter a password"), ("password", "Password is required"), ("secret", "${SECRET}"), ("password", "********"), ("token", "refresh_token"),
+    ]],
+]
+#: Times each example counts.
+TIMES = 5
 
 
 def candidates(documents: DataFrame, keep: Sequence[str] = ("doc_id",), path: str = "source") -> DataFrame:
     """One row per candidate: ``keep``, path, start (character offset), value, before and after (context)."""
     keep = [c for c in dict.fromkeys(keep) if c not in ("path", "start", "value", "before", "after")]
     rows = documents.select(*keep, F.col(path).cast("string").alias("path") if path in documents.columns else F.lit(None).cast("string").alias("path"), F.col("text").alias("_text"))
-    rows = rows.where(F.col("_text").rlike("[0-9]")).withColumn("_found", F.regexp_extract_all("_text", F.lit(CANDIDATE), 0)).where(F.size("_found") > 0)
+    rows = rows.where(F.col("_text").rlike("[0-9:=]")).withColumn("_found", F.regexp_extract_all("_text", F.lit(CANDIDATE), 0)).where(F.size("_found") > 0)
     rows = rows.withColumn("_between", F.split("_text", CANDIDATE, -1))
     steps = F.zip_with("_between", "_found", lambda b, v: F.coalesce(F.length(b), F.lit(0)) + F.coalesce(F.length(v), F.lit(0)))
     parts = F.transform(
@@ -81,6 +111,8 @@ def features() -> dict[str, Column]:
         "digits": _share("[0-9]"),
         "upper": _share("[A-Z]"),
         "signs": _share("[+/_=-]"),
+        "others": _share("[^A-Za-z0-9+/_=-]"),
+        "spaces": _share(r"\s"),
         "hex": _share("[0-9a-fA-F]"),
         "distinct": F.size(F.array_distinct(chars)) / F.length(value),
         # Transitions between neighbouring characters.
@@ -96,6 +128,8 @@ def features() -> dict[str, Column]:
         "depth": F.regexp_count(path, F.lit("/")).cast("double"),
         # Words around it.
         "assigned": _flag(before.rlike(ASSIGNED)),
+        "direct": _flag(before.rlike(DIRECT)),
+        "reference": _flag(value.rlike(REFERENCE)),
         "credential": _flag(last.rlike(CREDENTIAL)),
         "credential_near": _flag(F.right(before, F.lit(30)).rlike(CREDENTIAL)),
         "digest": _flag(F.right(before, F.lit(30)).rlike(DIGEST)),
@@ -106,29 +140,38 @@ def features() -> dict[str, Column]:
 def known_labels() -> Column:
     """1, 0 or null: labels of findings that need no judgement, from their format and assignment.
 
-    Secret: a provider's format, or a drawn-looking value assigned to a credential. Not: digits only, stand-ins, and what
-    is named a digest. The default labeller where no table of labelled findings is given.
+    Secret: a provider's format, or a drawn-looking value assigned to a credential, or one directly assigned that mixes
+    three kinds of characters. Not: digits only (unless directly assigned), stand-ins, references, and what is named a
+    digest. The default labeller where no table of labelled findings is given.
     """
     value, before = F.col("value"), F.coalesce("before", F.lit(""))
     drawn = (F.regexp_count("value", F.lit("[0-9]")) >= 3) & (F.size(F.array_distinct(F.split("value", ""))) >= 8) & ~value.rlike("^[0-9]+$")
     assigned = before.rlike(ASSIGNED) & F.right(before, F.lit(24)).rlike(CREDENTIAL)
-    return F.when(value.rlike("^[0-9]+$") | value.rlike(STANDIN) | F.right(before, F.lit(24)).rlike(DIGEST), F.lit(0.0)).when(value.rlike(FORMATS) | (assigned & drawn), F.lit(1.0))
+    direct = before.rlike(DIRECT)
+    kinds = sum((value.rlike(k).cast("int") for k in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]")), F.lit(0))
+    mixed = direct & (kinds >= 3) & ~value.rlike(r"\s")
+    digits = value.rlike("^[0-9]+$")
+    not_secret = (digits & ~direct) | value.rlike(STANDIN) | (direct & value.rlike(REFERENCE)) | F.right(before, F.lit(24)).rlike(DIGEST)
+    return F.when(not_secret, F.lit(0.0)).when(value.rlike(FORMATS) | (assigned & drawn) | mixed, F.lit(1.0))
 
 
-def fit(labelled: DataFrame, per_class: int = PER_CLASS):
+def fit(labelled: DataFrame, per_class: int = PER_CLASS, examples: DataFrame | None = None):
     """Forest from findings with path, value, before, after and label (0 or 1; others are not used).
 
-    At most about ``per_class`` findings of each class, drawn by hash, are learned from. None if a class is missing.
+    At most about ``per_class`` findings of each class, drawn by hash, are learned from, and all ``examples``. None if
+    there are no examples and a class is missing.
     """
     rows = labelled.where(F.col("label").isin(0.0, 1.0) & F.col("value").isNotNull())
     sizes = {r[0]: r[1] for r in rows.groupBy("label").count().collect()}
-    if len(sizes) < 2:
+    if len(sizes) < 2 and examples is None:
         return None
     cells = 1_000_000
     share = F.lit(0)
     for label, n in sizes.items():
         share = F.when(F.col("label") == label, F.lit(min(cells, -(-cells * per_class // n)))).otherwise(share)
-    drawn = rows.where(F.pmod(F.xxhash64("value", "before", "path"), F.lit(cells)) < share)
+    drawn = rows.where(F.pmod(F.xxhash64("value", "before", "path"), F.lit(cells)) < share).select("path", "value", "before", "after", "label")
+    if examples is not None:
+        drawn = drawn.unionByName(examples)
     names = features()
     # The sample is bounded: one ordered partition makes the forest the same on every run.
     sample = written(drawn.select(F.col("label").cast("double").alias("label"), *[c.cast("double").alias(f"f_{n}") for n, c in names.items()]).repartition(1).sortWithinPartitions("label", *[f"f_{n}" for n in names]), "findings")
@@ -137,6 +180,13 @@ def fit(labelled: DataFrame, per_class: int = PER_CLASS):
     return forest.fit(assembler.transform(sample).select("features", "label"))
 
 
+def fit_by_default(found: DataFrame):
+    """Forest from the candidates that ``known_labels`` labels, and ``EXAMPLES``."""
+    rows = [(None, value, before, after, label) for before, value, after, label in EXAMPLES for _ in range(TIMES)]
+    examples = local_table(found.sparkSession, rows, "path string, value string, before string, after string, label double")
+    return fit(found.withColumn("label", known_labels()), examples=examples)
+
+
 def classify(found: DataFrame, forest) -> DataFrame:
     """Add ``score`` and ``secret`` (score of at least one half) to candidates. Without a forest, known labels decide."""
     if forest is None:
@@ -154,10 +204,10 @@ def scan(documents: DataFrame, keep: Sequence[str] = ("doc_id",), labelled: Data
     """Findings of whole texts: ``keep``, path, start, value, before, after, score and secret.
 
     ``labelled`` holds labelled findings (path, value, before, after, label); by default the candidates themselves with
-    ``known_labels``. Null and empty texts have no candidates. Kept columns named like a result are replaced.
+    ``known_labels``, with some fixed examples. Null and empty texts have no candidates. Kept columns named like a result are replaced.
     """
     found = written(candidates(documents, keep, path), "candidates")
-    return classify(found, fit(found.withColumn("label", known_labels()) if labelled is None else labelled))
+    return classify(found, fit_by_default(found) if labelled is None else fit(labelled))
 
 
 def redact(documents: DataFrame, mark: str = "[SECRET]", path: str = "source") -> DataFrame:
@@ -169,7 +219,7 @@ def redact(documents: DataFrame, mark: str = "[SECRET]", path: str = "source") -
     # Documents with a null id go by their texts, so that they don't meet in one group.
     documents = documents.withColumn("_key", F.coalesce(F.concat(F.lit("i"), F.col("doc_id").cast("string")), F.sha2(F.col("text").cast("binary"), 256)))
     found = written(candidates(documents, ("_key",), path), "candidates")
-    secret = classify(found, fit(found.withColumn("label", known_labels()))).where("secret").select("value").distinct()
+    secret = classify(found, fit_by_default(found)).where("secret").select("value").distinct()
     secret = written(secret, "secrets")
     # Texts with a secret: by document; the values to replace are collected per document, and bounded by its text.
     held = found.join(secret, "value", "left_semi").groupBy("_key").agg(F.collect_set("value").alias("_values"))

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from playseq.llm import ngram_join, toxicity
+from playseq.llm import ngram_join, secret_scan, toxicity
 from playseq.llm.common import table
 
 MID = "/root/testdata/sf0.01"
@@ -50,3 +50,35 @@ def test_copies_of_an_id_do_not_change_scores(spark):
     plain, many = toxicity.fit(docs, labels), toxicity.fit(docs.union(copies), labels)
     assert plain.weights == many.weights and list(plain.exceptions) == list(many.exceptions)
     assert np.allclose(plain.coefficients, many.coefficients)
+
+
+SECRETS = [
+    ('password = "{}" here', "correctHorseBattery"),
+    ('pwd: "{}"', "Tr0ub4dor&3"),
+    ("DB_PASSWORD={}\nnext", "hunter2!x"),
+    ("password: '{}',", "s.e$c@r#1"),
+    ('{{"password": "{}"}}', "rainyTuesdayEvening"),
+    ("secret={} and", "Ab3$efgh"),
+]
+PLAIN = ["password = getUserPassword() here", "token: undefined", "the password: anything you like", 'password = os.environ["DB_PASSWORD"]', "password = ${MAIN_PASSWORD}", "author: somebody else", "x = correctHorseBattery"]
+
+
+def test_secrets_without_digits_or_with_signs(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, form.format(value)) for i, (form, value) in enumerate(SECRETS)] + [(50 + i, t) for i, t in enumerate(PLAIN)]
+    rows += [(100 + i, f'token = "{rng.bytes(20).hex()}" and {rng.integers(10**15, 10**16)}') for i in range(150)]
+    for given in (rows, rows[: len(SECRETS) + len(PLAIN)]):
+        docs = spark.createDataFrame(given, "doc_id long, text string")
+        found = secret_scan.scan(docs, ["doc_id", "text"]).collect()
+        assert all(r.text[r.start : r.start + len(r.value)] == r.value for r in found)
+        assert {(r.doc_id, r.value) for r in found if r.secret and r.doc_id < 100} == {(i, v) for i, (_, v) in enumerate(SECRETS)}
+        clean = {r.doc_id: r.text for r in secret_scan.redact(docs).collect()}
+        assert [clean[i] for i in range(len(SECRETS))] == [form.format("[SECRET]") for form, _ in SECRETS]
+        assert [clean[50 + i] for i in range(len(PLAIN))] == PLAIN
+
+
+def test_long_texts_of_assignments_are_scanned(spark):
+    texts = ["password = " * 2000, 'password="' * 2000, "password:" + " " * 300_000, "token" * 60_000, 'secret = "' + "word! " * 50_000 + '"']
+    found = secret_scan.candidates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert all(texts[r.doc_id][r.start : r.start + len(r.value)] == r.value for r in found)
+    assert {r.doc_id for r in found} == {0, 1, 4} and max(len(r.value) for r in found) == 300_000
