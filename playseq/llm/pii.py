@@ -16,13 +16,32 @@ ROUNDS = 8
 #: Days from EPOCH on that are permuted among themselves: 200 x 365.
 EPOCH, YEARS, DAYS = "1900-01-01", 200, 365
 
+# Lengths of account numbers by country, without which the end of one in printed groups cannot be told from the next word.
+_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def _grouped(n: int, lands: str) -> str:
+    rest = f" [A-Z0-9]{{{n % 4}}}" if n % 4 else ""
+    return f"(?:{lands.replace(' ', '|')})[0-9]{{2}}(?: [A-Z0-9]{{4}}){{{n // 4 - 1}}}{rest}"
+
+
+GROUPED = "|".join(_grouped(n, lands) for n, lands in _LENGTHS.items())
+#: Country codes of telephone numbers; those of three digits are the rest.
+COUNTRY = r"^\+(1|7|2[07]|3[0123469]|4[013456789]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
+_LOCAL = r"(?<![A-Za-z0-9+])(?:\+?[0-9]{1,3}[ .-]?)?\([0-9]{3}\)[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])|(?<![A-Za-z0-9+-])(?:\+[0-9]{1,3}[ .-])?[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9-])"
+_ABROAD = r"(?<![A-Za-z0-9+])\+[1-9](?:[ ./-]?(?:\([0-9]{1,4}\)|[0-9])){4,14}(?![0-9])"
+
 # Patterns by kind, tried in this order. Quantifiers are possessive or bounded, so that no text makes them backtrack far.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}+\.){1,8}[A-Za-z]{2,24}",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}+(?![A-Za-z0-9])",
+    "iban": rf"(?<![A-Za-z0-9])(?:[A-Z]{{2}}[0-9]{{2}}[A-Z0-9]{{11,30}}+|{GROUPED})(?![A-Za-z0-9])",
     "date": r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![0-9/-])",
     "ip": r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?!\.?[0-9])",
-    "phone": r"(?<![A-Za-z0-9+])(?:\+?[0-9]{1,3}[ .-]?)?\([0-9]{3}\)[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])|(?<![A-Za-z0-9+-])(?:\+[0-9]{1,3}[ .-])?[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9-])",
+    "phone": f"{_LOCAL}|{_ABROAD}",
     "ssn": r"(?<![A-Za-z0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "card": r"(?<![A-Za-z0-9])[0-9](?:[ -]?[0-9]){12,18}(?![A-Za-z0-9])",
 }
@@ -103,9 +122,35 @@ def _mod97(text: Column) -> Column:
     return F.aggregate(F.split(text, ""), F.lit(0), lambda a, c: F.pmod(a * F.when(c.between("0", "9"), 10).otherwise(100) + code(c), F.lit(97)))
 
 
+def _month_first(value: Column, key: str) -> Column:
+    """Another date written month first, for a day above 12; null for other values.
+
+    Days stay above 12, so that the result reads as one notation only, as the value does. Days 13 to 28, later ones, and
+    29 February are permuted among themselves, each within the years from EPOCH on (the last within its 49 leap years).
+    """
+    month, day, year = (F.substring(value, at, n).try_cast("int") for at, n in ((1, 2), (4, 2), (7, 4)))
+    since = year - 1900
+    # Later days: 30 of the eleven months but February, then 31 of seven; 29 of eleven comes first.
+    long = F.array(*[F.lit(m) for m in (1, 3, 5, 7, 8, 10, 12)])
+    other = F.array(*[F.lit(m) for m in (1, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12)])
+    place = F.when(day == 31, F.array_position(long, month) + 21).otherwise((day - 29) * 11 + F.array_position(other, month) - 1)
+    common = permute(since, (month - 1) * 16 + day - 13, F.lit(YEARS), F.lit(192), F.lit("month-first"), key)
+    late = permute(since, place, F.lit(YEARS), F.lit(29), F.lit("month-first-late"), key)
+    leap = permute(F.floor((since / 4 - 1) / 7), F.pmod(since / 4 - 1, F.lit(7)), F.lit(7), F.lit(7), F.lit("month-first-leap"), key)
+    text = lambda m, d, y: F.concat(F.lpad(m.cast("int").cast("string"), 2, "0"), F.lit("/"), F.lpad(d.cast("int").cast("string"), 2, "0"), F.lit("/"), (y + 1900).cast("int").cast("string"))
+    at = late["r"].cast("int")
+    late_text = text(F.when(at >= 22, F.get(long, at - 22)).otherwise(F.get(other, at % 11)), F.when(at >= 22, 31).otherwise(F.floor(at / 11) + 29), late["l"])
+    real = value.rlike("^[0-9]{2}/[0-9]{2}/[0-9]{4}$") & (day > 12) & (since >= 0) & (since < YEARS) & F.try_to_timestamp(value, F.lit("MM/dd/yyyy")).isNotNull()
+    made = F.when(day <= 28, text(F.floor(common["r"] / 16) + 1, common["r"] % 16 + 13, common["l"])).when(month == 2, text(F.lit(2), F.lit(29), (leap["l"] * 7 + leap["r"] + 1) * 4)).otherwise(late_text)
+    return F.when(real, made)
+
+
 def _dates(value: Column, key: str) -> Column:
-    """Another date in the same notation, or null if it is no date within the days that are permuted."""
-    out = F.lit(None).cast("string")
+    """Another date in the same notation, or null if it is no date within the days that are permuted.
+
+    A date with slashes is read day first, and month first only if its second number is above 12.
+    """
+    out = _month_first(value, key)
     for pattern, notation in ((r"^[0-9]{4}-", "yyyy-MM-dd"), (r"^[0-9]{2}/", "dd/MM/yyyy"), (r"^[0-9]{2}\.", "dd.MM.yyyy")):
         days = F.datediff(F.try_to_timestamp(value, F.lit(notation)).cast("date"), F.lit(EPOCH).cast("date"))
         made = permute(F.floor(days / DAYS), F.pmod(days, F.lit(DAYS)), F.lit(YEARS), F.lit(DAYS), F.lit("date"), key)
@@ -118,14 +163,15 @@ def kind_of(value: Column) -> Column:
     """Kind of a matched value after validation, or null."""
     digits = _digits(value)
     parts = F.split(value, r"\.")
+    joined = F.replace(value, F.lit(" "), F.lit(""))
     out = F.lit(None).cast("string")
     checks = {
         "card": F.length(digits).between(13, 19) & (luhn_sum(digits) % 10 == 0),
         "ssn": ~value.rlike("^(000|666|9)|-00-|-0000$"),
-        "phone": F.length(digits).between(10, 15),
+        "phone": F.length(digits).between(F.when(value.startswith("+"), 8).otherwise(10), 15),
         "ip": F.forall(parts, lambda p: p.cast("int") <= 255),
         "date": F.lit(True),
-        "iban": _mod97(F.concat(F.substring(value, F.lit(5), F.length(value)), F.left(value, F.lit(4)))) == 1,
+        "iban": _mod97(F.concat(F.substring(joined, F.lit(5), F.length(joined)), F.left(joined, F.lit(4)))) == 1,
         "email": F.lit(True),
     }
     for kind, check in checks.items():
@@ -138,14 +184,19 @@ def pseudonym(value: Column, kind: Column, key: str) -> Column:
     digits = _digits(value)
     body = permute_digits(F.left(digits, F.length(digits) - 1), "card", key)
     check = F.pmod(10 - luhn_sum(F.concat(body, F.lit("0"))), F.lit(10)).cast("string")
-    national = F.right(digits, F.lit(10))
-    code = F.left(digits, F.length(digits) - 10)
+    # The last ten digits, or all after the country code.
+    coded = ~value.rlike(f"^(?:{_LOCAL})$")
+    before = F.when(coded, F.length(F.regexp_extract(F.concat(F.lit("+"), digits), COUNTRY, 1))).otherwise(F.length(digits) - 10)
+    national = F.substring(digits, before + 1, F.length(digits))
+    code = F.left(digits, before)
     octets = F.transform(F.split(value, r"\."), lambda p: p.cast("long"))
     at = permute(octets[0] * 256 + octets[1], octets[2] * 256 + octets[3], F.lit(65536), F.lit(65536), F.lit("ip"), key)
     ip = F.concat_ws(".", *[F.floor(x).cast("long").cast("string") for x in (at["l"] / 256, at["l"] % 256, at["r"] / 256, at["r"] % 256)])
-    account = permute_text(F.substring(value, F.lit(5), F.length(value)), "iban", key)
+    joined = F.replace(value, F.lit(" "), F.lit(""))
+    account = permute_text(F.substring(joined, F.lit(5), F.length(joined)), "iban", key)
     land = F.left(value, F.lit(2))
     iban = F.concat(land, F.lpad((98 - _mod97(F.concat(account, land, F.lit("00")))).cast("string"), 2, "0"), account)
+    iban = F.when(value.contains(" "), F.regexp_replace(iban, "(.{4})(?=.)", "$1 ")).otherwise(iban)
     name = F.substring_index(value, "@", 1)
     email = F.concat(permute_text(name, "email", key), F.substring(value, F.length(name) + 1, F.length(value)))
     return (

@@ -1,10 +1,13 @@
 """Inputs that the small tables do not hold: tiny tables, repeated ids, other notations."""
 
+import re
+from datetime import date, datetime, timedelta
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from playseq.llm import ngram_join, secret_scan, toxicity
+from playseq.llm import ngram_join, pii, secret_scan, toxicity
 from playseq.llm.common import table
 
 MID = "/root/testdata/sf0.01"
@@ -82,3 +85,30 @@ def test_long_texts_of_assignments_are_scanned(spark):
     found = secret_scan.candidates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
     assert all(texts[r.doc_id][r.start : r.start + len(r.value)] == r.value for r in found)
     assert {r.doc_id for r in found} == {0, 1, 4} and max(len(r.value) for r in found) == 300_000
+
+
+def test_pseudonyms_of_other_notations(spark):
+    values = ["12/25/2024", "02/29/2024", "01/31/1999", "+49 30 1234567", "+44 20 7946 0958", "+4930123456", "+1 2345678", "DE89 3704 0044 0532 0130 00", "AT61 1904 3002 3457 3201", "NO93 8601 1117 947"]
+    docs = spark.createDataFrame([(1, "|".join(values)), (2, "pay AT61 1904 3002 3457 3201 EUR"), (3, "AT611904300234573201"), (4, "02/30/2024, 13/13/2024, DE88 3704 0044 0532 0130 00, +49 12345")], "doc_id long, text string")
+    rows = {r.doc_id: r for r in pii.pseudonymise(docs, "k").collect()}
+    new = rows[1].text.split("|")
+    assert rows[1].n_values == len(values) and all(a != b for a, b in zip(values, new))
+    assert [re.sub("[0-9]", "0", v) for v in values] == [re.sub("[0-9]", "0", v) for v in new]
+    assert all(datetime.strptime(d, "%m/%d/%Y").day > 12 for d in new[:3])
+    assert [v.split(" ")[0] for v in new[3:5]] == ["+49", "+44"] and new[5].startswith("+49") and new[6].startswith("+1 ")
+    for iban in new[7:]:
+        joined = iban.replace(" ", "")
+        assert int("".join(str(int(c, 36)) for c in joined[4:] + joined[:4])) % 97 == 1
+    assert rows[2].text == f"pay {new[8]} EUR" and rows[3].text == new[8].replace(" ", "")
+    assert rows[4].n_values == 0 and rows[4].text == docs.where("doc_id = 4").first().text
+
+
+def test_slash_dates_are_permuted_one_to_one(spark):
+    days = [date(1900, 1, 1) + timedelta(d) for d in range(0, 73049)]
+    days = [d for d in days if d.day > 12 and (d.day > 28 or d.year % 20 == 0)]
+    df = spark.createDataFrame([(d.strftime("%m/%d/%Y"),) for d in days], "v string").repartition(8)
+    made = [r.p for r in df.select(pii.pseudonym(F.col("v"), F.lit("date"), "k").alias("p")).collect()]
+    assert len(set(made)) == len(days) and None not in made
+    assert all(datetime.strptime(p, "%m/%d/%Y").day > 12 and 1900 <= int(p[6:]) < 2100 for p in made)
+    late = [d.strftime("%m/%d/%Y") for d in days if d.day > 28]
+    assert {p for p in made if int(p[3:5]) > 28} == set(late)
