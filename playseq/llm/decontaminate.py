@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import ahocorasick
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,7 +20,8 @@ from playseq.operators.storage import written
 #: Consecutive item words that make a window.
 WINDOW = 10
 #: Benchmark text, in bytes, that one automaton (and one broadcast) may hold; a larger benchmark is scanned in blocks.
-BLOCK_BYTES = 32_000_000
+#: Each task builds the automaton, which takes many times as much memory as its text.
+BLOCK_BYTES = 4_000_000
 
 # Words are runs of 0-9, a-z, A-Z and everything beyond ASCII; A-Z is lower-cased. In UTF-8 this is a table of bytes.
 _FOLD = bytes((b + 32 if 65 <= b <= 90 else b) if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
@@ -43,16 +44,20 @@ class Automaton:
 
     def __init__(self, items: Sequence[tuple[str | None, bytes | None]], size: int = WINDOW):
         self.ids: dict[bytes, int] = {}
-        owners: dict[tuple[int, ...], set[str]] = {}
+        owners: dict[tuple[int, ...], frozenset[str]] = {}
         for item, text in items:
+            # One set for all windows of an item, where no other item has them.
+            mine = frozenset([item] if item is not None else [])
             for window in windows(text, size):
                 key = tuple(self.ids.setdefault(w, len(self.ids) + 1) for w in window)
-                owners.setdefault(key, set()).update([item] if item is not None else [])
+                had = owners.get(key)
+                owners[key] = mine if had is None else had if mine <= had else had | mine
         self.tree = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-        for key, who in owners.items():
-            self.tree.add_word(key, (len(key), who))
         self.empty = not owners
-        if owners:
+        while owners:
+            key, who = owners.popitem()
+            self.tree.add_word(key, (len(key), who))
+        if not self.empty:
             self.tree.make_automaton()
 
     def scan(self, found: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
@@ -123,6 +128,24 @@ def _scan_block(documents: DataFrame, keep: Sequence[str], items: list[tuple[str
     return done.withColumns(merged).drop(*[f"_had{c}" for c in merged])
 
 
+def _joined() -> dict[str, Column]:
+    """Spans of several blocks that touch or overlap in words as one, as a scan for all items at once gives them.
+
+    Both arrays are sorted and distinct, and the offsets follow from the words, so they go together.
+    """
+    pairs = F.zip_with("_words", "spans", lambda w, c: F.struct(w.alias("w"), c.alias("c")))
+    both = lambda a, b: F.struct(a["start"].alias("start"), F.greatest(a["end"], b["end"]).alias("end"))
+
+    def step(acc: Column, x: Column) -> Column:
+        last = F.get(acc, F.size(acc) - 1)
+        grown = F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(both(last["w"], x["w"]).alias("w"), both(last["c"], x["c"]).alias("c"))))
+        return F.when((F.size(acc) > 0) & (last["w"]["end"] >= x["w"]["start"]), grown).otherwise(F.concat(acc, F.array(x)))
+
+    span = "struct<start:int,end:int>"
+    made = F.aggregate(pairs, F.array().cast(f"array<struct<w:{span},c:{span}>>"), step)
+    return {"_words": F.transform(made, lambda s: s["w"]), "spans": F.transform(made, lambda s: s["c"])}
+
+
 def find_contamination(documents: DataFrame, benchmark: DataFrame, *, keep: Sequence[str] = ("doc_id",), window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Mark the words of ``documents`` that lie in any window of ``benchmark`` (item_id, text).
 
@@ -146,6 +169,8 @@ def find_contamination(documents: DataFrame, benchmark: DataFrame, *, keep: Sequ
             result = written(result, "scanned")
         carry = [*keep, "text"] if blocks > 1 and "text" not in keep else keep
         result = _scan_block(result, carry, [(r[0], bytes(r[1])) for r in rows], window, block > 0)
+    if blocks > 1:
+        result = result.withColumns(_joined())
     # Words hit: the union of the blocks' spans, which may overlap.
     merged = F.aggregate(
         F.array_sort("_words"),

@@ -1,14 +1,17 @@
 """Inputs that the small tables do not hold: tiny tables, repeated ids, other notations."""
 
 import re
+import subprocess
+import sys
 from datetime import date, datetime, timedelta
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from playseq.llm import ngram_join, pii, secret_scan, toxicity
+from playseq.llm import decontaminate, ngram_join, pii, secret_scan, toxicity
 from playseq.llm.common import table
+from tests.conftest import collected
 
 MID = "/root/testdata/sf0.01"
 
@@ -112,3 +115,25 @@ def test_slash_dates_are_permuted_one_to_one(spark):
     assert all(datetime.strptime(p, "%m/%d/%Y").day > 12 and 1900 <= int(p[6:]) < 2100 for p in made)
     late = [d.strftime("%m/%d/%Y") for d in days if d.day > 28]
     assert {p for p in made if int(p[3:5]) > 28} == set(late)
+
+
+def test_spans_do_not_depend_on_blocks(spark):
+    words = [f"word{i}" for i in range(60)]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, "x, " + " -- ".join(words[:25])), (3, None)], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(words[a:b])) for i, (a, b) in enumerate([(0, 12), (5, 18), (18, 30), (35, 50), (40, 55), (52, 60), (35, 50)])], "item_id long, text string")
+    plain = decontaminate.find_contamination(docs, bench)
+    assert [(s.start, s.end) for s in plain.where("doc_id = 1").first().spans] == [(0, len(" ".join(words[:30]))), (len(" ".join(words[:35])) + 1, len(" ".join(words)))]
+    assert collected(plain) == collected(decontaminate.find_contamination(docs, bench, block_bytes=150))
+
+
+def test_a_full_block_fits_a_worker():
+    code = """
+import random, resource
+from playseq.llm import decontaminate as d
+r = random.Random(1)
+items = [(str(i), " ".join(f"{r.randrange(5000):07d}" for _ in range(100)).encode()) for i in range(d.BLOCK_BYTES // 800)]
+d.Automaton(items)
+print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024)
+"""
+    made = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=300, check=True)
+    assert int(made.stdout) < 1000, made.stdout
