@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,6 +12,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from playseq.operators.storage import shared_dir
+
+#: Shuffle files of a query that has been written can go at its end, instead of when the driver next collects garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 #: Every fifth document (by the checksum of its id) is never learned from.
 FOLDS = 5
 
@@ -57,3 +64,24 @@ def map_text(
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(kept))), *made], names=names)
 
     return df.select(*kept, F.col(text).alias("_text")).mapInArrow(run, schema)
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """As ``written``, compressed harder: for large texts that are read again."""
+    path = f"{shared_dir(df.sparkSession)}/playseq/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def brief_shuffles(spark: SparkSession):
+    """Queries that end within the block leave no shuffle files behind; their results are to be written tables."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)

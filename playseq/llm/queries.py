@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from playseq.llm import decontaminate, embeddings, html, langid, mixing, ngram_join, pii, secret_scan, toxicity, warc
+from playseq.llm import centroids, decontaminate, embeddings, html, langid, mixing, ngram_join, periodic, pii, secret_scan, substrings, toxicity, warc
 from playseq.llm.common import table
 
 #: Key of the pseudonyms of this query; a real run takes its own from a secret store.
@@ -58,6 +58,44 @@ def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "position")
 
 
+def planted_runs(docs: DataFrame) -> DataFrame:
+    """``doc_id`` and ``text``, where every tenth document (by the checksum of its id) repeats a stretch up to its end."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    g, n = F.expr("h div 10"), F.size("w").cast("long")
+    rows = docs.select("doc_id", "text", h.alias("h"), F.when(h % 10 == 0, words).alias("w"))
+    rows = rows.select("doc_id", "text", "w", n.alias("n"), g.alias("g"))
+    rows = rows.select("*", F.expr("case when n > 0 then g % n end").alias("a"))
+    rows = rows.select("*", F.expr("1 + (n - a) div (3 + g % 8)").alias("p"))
+    periodic_text = F.expr("array_join(transform(w, (x, i) -> if(i < a, x, get(w, cast(a + (i - a) % p as int)))), ' ')")
+    return rows.select("doc_id", F.when(F.col("n") > 0, periodic_text).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    found = periodic.periodic_runs(planted_runs(table(spark, folder, "documents").select("doc_id", "text")))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n"))), "")
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        digest(lines).alias("runs_sha256"),
+        digest(F.col("collapsed")).alias("collapsed_sha256"),
+    )
+
+
+def op12_centroids(spark: SparkSession, folder: str) -> DataFrame:
+    return centroids.lloyd(table(spark, folder, "embeddings"))
+
+
+def op13_substrings(spark: SparkSession, folder: str) -> DataFrame:
+    found = substrings.remove_repeats(table(spark, folder, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_secrets": op2_secrets,
@@ -69,6 +107,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language": op8_language,
     "op9_pseudonyms": op9_pseudonyms,
     "op10_mixing": op10_mixing,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_centroids": op12_centroids,
+    "op13_substrings": op13_substrings,
 }
 
 SQL: dict[str, str] = {}
@@ -176,3 +217,86 @@ SELECT doc_id, size, source_size, target, (one + two)::BIGINT AS taken,
   END)))::BIGINT END AS position
 FROM m
 """
+
+# Checksum of the id bit by bit. Words equal over a lag make equal grams of five, whose islands on a diagonal are the
+# stretches; of several lags with the same stretch the smallest is the period.
+SQL["op11_periodic_runs"] = """
+WITH raw AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'), []) AS w0,
+    xor(4294967295::BIGINT, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+      lambda a, c: list_reduce(list_prepend(xor(a, c), range(8)), lambda b, k: xor(b >> 1, (b & 1) * 3988292384::BIGINT)))) AS h
+  FROM documents
+), place AS (
+  SELECT *, len(w0)::BIGINT AS n, h // 10 AS g, CASE WHEN h % 10 = 0 AND len(w0) > 0 THEN (h // 10) % len(w0) END AS a FROM raw
+), doc AS (
+  SELECT r, doc_id, n, CASE WHEN a IS NULL THEN w0 ELSE list_transform(range(n), lambda i: CASE WHEN i < a THEN w0[i + 1] ELSE w0[a + (i - a) % (1 + (n - a) // (3 + g % 8)) + 1] END) END AS w FROM place
+), gram AS (
+  SELECT r, n, i, hash(array_to_string(w[i + 1:i + 5], ' ')) AS k FROM doc, unnest(range(n - 4)) AS t(i) WHERE n >= 6
+), pair AS (
+  SELECT x.r, x.i, y.i - x.i AS q FROM gram x JOIN gram y ON x.r = y.r AND x.k = y.k AND y.i > x.i AND 4 * (y.i - x.i) <= x.n
+), island AS (
+  SELECT r, q, i, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS part FROM pair
+), stretch AS (
+  SELECT r, q, min(i) AS start, max(i) - min(i) + 5 + q AS length FROM island GROUP BY r, q, part
+), run AS (
+  SELECT r, start, length, min(q) AS period FROM stretch GROUP BY r, start, length HAVING length >= greatest(6, 4 * min(q))
+), digest AS (
+  SELECT r, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines FROM run GROUP BY r
+), best AS (
+  SELECT r, start, length, period FROM run x
+  QUALIFY row_number() OVER (PARTITION BY r ORDER BY length / period::DOUBLE DESC, start, period) = 1
+), gone AS (
+  SELECT DISTINCT r, i FROM run, unnest(range(start + period, start + length)) AS t(i)
+), kept AS (
+  SELECT r, string_agg(word, ' ' ORDER BY i) AS text FROM (SELECT r, unnest(w) AS word, unnest(range(n)) AS i FROM doc) ANTI JOIN gone USING (r, i) GROUP BY r
+)
+SELECT doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, start::BIGINT AS start, length::BIGINT AS length, period::BIGINT AS period, (1000 * length // period)::BIGINT AS exponent_milli,
+       sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(text, '')) AS collapsed_sha256
+FROM doc LEFT JOIN digest USING (r) LEFT JOIN best USING (r) LEFT JOIN kept USING (r)
+"""
+
+_ASSIGN = """, d{n} AS (
+  SELECT v.r, c.c, list_sum(list_transform(range(1, 65), lambda i: (v.v[i] - c.v[i]) * (v.v[i] - c.v[i])))::BIGINT AS d FROM v, c{n} c
+), a{n} AS (
+  SELECT r, d AS distance, c AS cluster FROM d{n} QUALIFY row_number() OVER (PARTITION BY r ORDER BY d, c) = 1
+)"""
+
+_UPDATE = """, s{n} AS (
+  SELECT cluster AS c, i, sum(v.v[i])::BIGINT AS s, count(*) AS m FROM a{n} JOIN v USING (r), unnest(range(1, 65)) AS t(i) GROUP BY ALL
+), c{next} AS (
+  SELECT c.c, coalesce(f.v, c.v) AS v FROM c{n} c LEFT JOIN (SELECT c, list(((s - ((s % m) + m) % m) // m)::BIGINT ORDER BY i) AS v FROM s{n} GROUP BY c) f USING (c)
+)"""
+
+SQL["op12_centroids"] = (
+    """
+WITH v AS (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), c0 AS (
+  SELECT (row_number() OVER (ORDER BY sha256('1:' || vec_id)) - 1)::INT AS c, v FROM v ORDER BY sha256('1:' || vec_id) LIMIT 16
+)"""
+    + "".join(_ASSIGN.format(n=i) + _UPDATE.format(n=i, next=i + 1) for i in range(3))
+    + _ASSIGN.format(n=3)
+    + """
+SELECT vec_id, cluster, distance, sum(distance) OVER (PARTITION BY cluster)::BIGINT AS cluster_inertia, sum(distance) OVER ()::BIGINT AS inertia, sha256(array_to_string(c3.v, ',')) AS centroid_sha256
+FROM a3 JOIN v USING (r) JOIN c3 ON c3.c = a3.cluster
+"""
+)
+
+SQL["op13_substrings"] = """
+WITH doc AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'), []) AS w FROM documents
+), win AS (
+  SELECT r, doc_id, i, md5(array_to_string(w[i:i + 12], ' ')) AS k FROM doc, unnest(range(1, len(w) - 11)) AS t(i) WHERE len(w) >= 13
+), least AS (
+  SELECT k, min(doc_id) AS f FROM win GROUP BY k
+), gone AS (
+  SELECT DISTINCT r, p FROM win JOIN least USING (k), unnest(range(i, i + 13)) AS t(p) WHERE f < doc_id
+), n AS (
+  SELECT r, count(*) AS n_removed FROM gone GROUP BY r
+), kept AS (
+  SELECT r, string_agg(word, ' ' ORDER BY p) AS text FROM (SELECT r, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM doc) ANTI JOIN gone USING (r, p) GROUP BY r
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+FROM doc LEFT JOIN n USING (r) LEFT JOIN kept USING (r)
+"""
