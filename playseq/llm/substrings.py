@@ -8,11 +8,10 @@ of ``window`` words that hold them, and overlapping passages of a document merge
 extended in classes of equal passages, each known by its smallest document, not in pairs: a block that m documents share
 has m places, not m^2 pairs.
 
-Texts are handled in batches of bounded size. To probe, a batch sends the distinct hashes of its windows, sorted, packed
-and cut into ranges; a range's task sees which of them meet, and answers each batch with one bit for each of its hashes.
-So about two bytes travel for a word. Passages around anchors travel in the same way with longer hashes, and the answer to
-each is whether a smaller document elsewhere holds it. A batch has one entry for each distinct hash, however many documents
-share it, which bounds what one hash can bring to a range's task by the number of batches.
+Texts are handled in batches of bounded size. To probe, a batch sends the distinct hashes of its windows, packed (see
+``packing``); a range's task sees which of them meet, and answers each batch with one bit for each of its hashes. So about
+two bytes travel for a word. Passages around anchors travel in the same way with longer hashes, and the answer to each is
+whether a smaller document elsewhere holds it.
 """
 
 from __future__ import annotations
@@ -28,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from playseq.llm.common import brief_shuffles, stored
+from playseq.llm.packing import ANSWERS, LOW, answered, answers, by_range, firsts, packed, range_keys, seen_again, spread
 from playseq.llm.words import scramble, window_hashes, word_hashes
 
 WINDOW = 13
@@ -42,22 +42,6 @@ def block_words(window: int) -> int:
     return (window + 1) // 2
 
 
-def packed(numbers: np.ndarray, *flags: np.ndarray) -> bytes:
-    """Rising 32-bit numbers as compressed planes of their differences' bytes, then one bit per number for each flag."""
-    steps = np.diff(numbers, prepend=np.uint32(0)).astype("<u4")
-    planes = np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 4).T)
-    raw = planes.tobytes() + b"".join(np.packbits(f).tobytes() for f in flags)
-    return pa.compress(raw, codec="zstd", asbytes=True)
-
-
-def unpacked(data: bytes, n: int, flags: int) -> tuple[np.ndarray, list[np.ndarray]]:
-    bits = -(-n // 8)
-    raw = np.frombuffer(pa.decompress(data, decompressed_size=4 * n + flags * bits, codec="zstd", asbytes=True), np.uint8)
-    steps = np.ascontiguousarray(raw[: 4 * n].reshape(4, n).T).view("<u4").ravel()
-    marks = [np.unpackbits(raw[4 * n + i * bits : 4 * n + (i + 1) * bits], count=n).astype(bool) for i in range(flags)]
-    return np.cumsum(steps, dtype=np.uint32), marks
-
-
 @dataclass
 class Probes:
     """The rolling windows of a batch: ``at`` (places), ``order`` (by hash), ``first`` (first of each distinct hash)."""
@@ -82,10 +66,10 @@ def probes(texts: list[bytes | None], window: int, ranges: int) -> Probes:
     place = np.arange(len(words)) - bounds[:-1][owner]
     at = np.flatnonzero((place + block <= sizes[owner]) & (sizes[owner] >= window))
     h = window_hashes(words, block)[at] if len(at) else np.zeros(0, np.uint64)
-    key = (((h >> _U(32)) * _U(ranges)) >> _U(32) << _U(32)) | (h & _U(0xFFFFFFFF))
+    key = range_keys(h, ranges)
     order = np.argsort(key, kind="stable")
     key = key[order]
-    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    first = firsts(key)
     if not len(first):
         none = np.zeros(0, bool)
         return Probes(words, bounds, at, order, first, key, none, none)
@@ -95,45 +79,10 @@ def probes(texts: list[bytes | None], window: int, ranges: int) -> Probes:
     return Probes(words, bounds, at, order, first, key[first], aligned, shared)
 
 
-def _by_range(key: np.ndarray) -> list[tuple[int, slice]]:
-    """Ranges that occur, and where, in sorted keys."""
-    found, starts = np.unique(key >> _U(32), return_index=True)
-    return [(int(r), slice(a, b)) for r, a, b in zip(found, starts, [*starts[1:], len(key)])]
-
-
 def _meet(block: pa.Table) -> pa.Table:
     """For each batch of a range: which of its hashes are in another text too, and in a reference block."""
-    sizes = block.column("n").to_pylist()
-    read = [unpacked(p, n, 2) for p, n in zip(block.column("packed").to_pylist(), sizes)]
-    number = np.concatenate([r[0] for r in read])
-    aligned, shared = (np.concatenate([r[1][i] for r in read]) for i in (0, 1))
-    order = np.argsort(number, kind="stable")
-    first = np.flatnonzero(np.concatenate([[True], number[order][1:] != number[order][:-1]]))
-    many = np.diff(np.append(first, len(order))) > 1
-    live = np.logical_or.reduceat(aligned[order], first) & (many | np.logical_or.reduceat(shared[order], first))
-    answer = np.zeros(len(number), bool)
-    answer[order] = np.repeat(live, np.diff(np.append(first, len(order))))
-    return _answers(block, sizes, answer)
-
-
-def _answers(block: pa.Table, sizes: list[int], answer: np.ndarray) -> pa.Table:
-    """One row of bits for each batch that has any."""
-    ends = np.cumsum(sizes)
-    bits = [answer[e - n : e] for e, n in zip(ends, sizes)]
-    some = pa.array([bool(b.any()) for b in bits])
-    made = pa.table([block.column("batch"), block.column("range"), pa.array([pa.compress(np.packbits(b).tobytes(), codec="zstd", asbytes=True) for b in bits], pa.binary())], names=["batch", "range", "bits"])
-    return made.filter(some)
-
-
-def _bits(answers: dict[int, bytes], parts: list[tuple[int, slice]], n: int) -> np.ndarray:
-    """The answers of all ranges as one mask over a batch's sorted distinct hashes."""
-    mask = np.zeros(n, bool)
-    for r, where in parts:
-        if r in answers:
-            size = where.stop - where.start
-            raw = pa.decompress(answers[r], decompressed_size=-(-size // 8), codec="zstd", asbytes=True)
-            mask[where] = np.unpackbits(np.frombuffer(raw, np.uint8), count=size).astype(bool)
-    return mask
+    many, (aligned, shared), order, first = seen_again(block, 2)
+    return answers(block, spread(aligned & (many | shared), order, first))
 
 
 @dataclass
@@ -179,7 +128,6 @@ def passages(found: Probes, live: np.ndarray, ranks: np.ndarray, window: int, ra
 
 def _smaller(block: pa.Table) -> pa.Table:
     """For each batch of a range: of which of its passages a smaller document is elsewhere."""
-    sizes = block.column("n").to_pylist()
     h = np.concatenate([np.frombuffer(x, np.uint64) for x in block.column("hashes").to_pylist()])
     g = np.concatenate([np.frombuffer(x, np.uint32) for x in block.column("more").to_pylist()])
     ids = block.column("ids").combine_chunks().flatten()
@@ -188,7 +136,7 @@ def _smaller(block: pa.Table) -> pa.Table:
     first = np.flatnonzero(np.concatenate([[True], (h[order][1:] != h[order][:-1]) | (g[order][1:] != g[order][:-1])]))
     answer = np.zeros(len(h), bool)
     answer[order] = rank[order] > np.repeat(rank[order][first], np.diff(np.append(first, len(order))))
-    return _answers(block, sizes, answer)
+    return answers(block, answer)
 
 
 def _ranks(ids: pa.Array) -> np.ndarray:
@@ -199,10 +147,6 @@ def _ranks(ids: pa.Array) -> np.ndarray:
     return np.where(ids.is_null().to_numpy(zero_copy_only=False), -1, rank)
 
 
-def _key_ranges(h: np.ndarray, ranges: int) -> list[tuple[int, slice]]:
-    return _by_range((((h >> _U(32)) * _U(ranges)) >> _U(32)) << _U(32))
-
-
 def _batched(window: int, ranges: int, kind: pa.DataType):
     """Cut documents into batches; give their rows, and the packed hashes of their windows."""
 
@@ -218,13 +162,13 @@ def _batched(window: int, ranges: int, kind: pa.DataType):
                 name, texts = f"{part}-{number}", rows.column(1).cast(pa.large_binary()).to_pylist()
                 known = rows.column(0).is_valid().to_pylist()
                 found = probes([t if k else None for t, k in zip(texts, known)], window, ranges)
-                parts = _by_range(found.key)
+                parts = by_range(found.key)
                 null = lambda t, n: pa.nulls(n, t)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([name] * rows.num_rows), rows.column(0), rows.column(1), null(pa.int64(), rows.num_rows), null(pa.int32(), rows.num_rows), null(pa.binary(), rows.num_rows)],
                     names=["batch", "id", "text", "range", "n", "packed"],
                 )
-                data = [packed((found.key[w] & _U(0xFFFFFFFF)).astype(np.uint32), found.aligned[w], found.shared[w]) for _, w in parts]
+                data = [packed((found.key[w] & LOW).astype(np.uint32), found.aligned[w], found.shared[w]) for _, w in parts]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([name] * len(parts), pa.string()), null(kind, len(parts)), null(rows.column(1).type, len(parts)), pa.array([r for r, _ in parts], pa.int64()), pa.array([w.stop - w.start for _, w in parts], pa.int32()), pa.array(data, pa.binary())],
                     names=["batch", "id", "text", "range", "n", "packed"],
@@ -239,9 +183,9 @@ def _again(rows: pa.Table, live: pa.Table, window: int, ranges: int) -> tuple[li
     ids = rows.column("id").combine_chunks()
     ranks = _ranks(ids)
     found = probes([t if r >= 0 else None for t, r in zip(texts, ranks)], window, ranges)
-    mask = _bits(dict(zip(live.column("range").to_pylist(), live.column("bits").to_pylist())), _by_range(found.key), len(found.key))
+    mask = answered(live, by_range(found.key), len(found.key))
     made = passages(found, mask, ranks, window, ranges)
-    return texts, found, made, _key_ranges(made.key, ranges)
+    return texts, found, made, by_range(range_keys(made.key, ranges))
 
 
 def _extended(window: int, ranges: int):
@@ -259,7 +203,7 @@ def _extended(window: int, ranges: int):
                 pa.array([r for r, _ in parts], pa.int64()),
                 pa.array([w.stop - w.start for _, w in parts], pa.int32()),
                 pa.array([made.key[w].tobytes() for _, w in parts], pa.binary()),
-                pa.array([(made.more[w] & _U(0xFFFFFFFF)).astype(np.uint32).tobytes() for _, w in parts], pa.binary()),
+                pa.array([(made.more[w] & LOW).astype(np.uint32).tobytes() for _, w in parts], pa.binary()),
                 pa.ListArray.from_arrays(offsets, holder),
             ],
             names=["batch", "range", "n", "hashes", "more", "ids"],
@@ -269,11 +213,10 @@ def _extended(window: int, ranges: int):
 
 
 def _removed(window: int, ranges: int):
-    def run(rows: pa.Table, answers: pa.Table) -> pa.Table:
-        first = pc.equal(answers.column("round"), 1)
-        texts, found, made, parts = _again(rows, answers.filter(first), window, ranges)
-        rest = answers.filter(pc.invert(first))
-        elsewhere = _bits(dict(zip(rest.column("range").to_pylist(), rest.column("bits").to_pylist())), parts, len(made.key))
+    def run(rows: pa.Table, told: pa.Table) -> pa.Table:
+        first = pc.equal(told.column("round"), 1)
+        texts, found, made, parts = _again(rows, told.filter(first), window, ranges)
+        elsewhere = answered(told.filter(pc.invert(first)), parts, len(made.key))
         counts = np.diff(np.append(made.first, len(made.order)))
         gone = np.zeros(len(made.at), bool)
         gone[made.order] = np.repeat(elsewhere, counts) | (made.rank[made.order] > np.repeat(made.least, counts))
@@ -319,10 +262,10 @@ def remove_repeats(documents: DataFrame, *, window: int = WINDOW) -> DataFrame:
         base = stored(rows.mapInArrow(_batched(window, ranges, arrow), f"batch string, id {kind}, text string, range long, n int, packed binary"), "batches")
         texts = base.where("range is null").select("batch", "id", "text")
         probed = base.where("range is not null").select("batch", "range", "n", "packed")
-        live = stored(probed.groupBy("range").applyInArrow(_meet, "batch string, range long, bits binary"), "anchors")
+        live = stored(probed.groupBy("range").applyInArrow(_meet, ANSWERS), "anchors")
         extended = texts.groupBy("batch").cogroup(live.groupBy("batch")).applyInArrow(_extended(window, ranges), f"batch string, range long, n int, hashes binary, more binary, ids array<{kind}>")
         classes = stored(extended, "passages")
-        smaller = stored(classes.groupBy("range").applyInArrow(_smaller, "batch string, range long, bits binary"), "smaller")
-    answers = live.withColumn("round", F.lit(1)).union(smaller.withColumn("round", F.lit(2)))
-    removed = texts.groupBy("batch").cogroup(answers.groupBy("batch"))
+        smaller = stored(classes.groupBy("range").applyInArrow(_smaller, ANSWERS), "smaller")
+    told = live.withColumn("round", F.lit(1)).union(smaller.withColumn("round", F.lit(2)))
+    removed = texts.groupBy("batch").cogroup(told.groupBy("batch"))
     return removed.applyInArrow(_removed(window, ranges), f"doc_id {kind}, n_words long, n_removed long, removed array<struct<start:long,end:long>>, kept string")
