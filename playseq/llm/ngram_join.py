@@ -9,9 +9,11 @@ neighbourhoods (two units). A cost model over a sample allots the units; it chan
 Small segments are often empty, and all sets with an empty segment would share its key. So a band may have spare segments
 of one unit: with e of them at least e + 1 segments are equal, and a set of at most e empty ones needs no keys for these.
 
-Sets with equal elements are joined as one. Segments met by two sets give their pair. In a segment met by more, all sets
-are paired with one hub, the set that meets others most often; what these links leave in different components is paired
-then, if a parity sketch (a lower bound of the difference) allows it. Every pair is verified on the sets.
+Sets with equal elements are one class and joined as one. Most keys belong to one class only, so the keys of each batch of
+documents are first probed packed (see ``packing``), and only those that another one has too become rows. Keys met by two
+classes give their pair. In a key met by more, all are paired with one hub, the class that meets others most often; what
+these links leave in different components is paired then, if parity sketches (lower bounds of the difference) allow it.
+Every pair is verified on the sets. Classes that hold one doc_id are linked through it, as the id is one vertex.
 """
 
 from __future__ import annotations
@@ -21,10 +23,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from playseq.llm.common import brief_shuffles
 from playseq.llm.components import components
+from playseq.llm.packing import ANSWERS, LOW, answered, answers, by_range, firsts, packed, range_keys, seen_again, spread
 from playseq.operators.storage import written
 
 #: Words of a shingle, and the similarity as a percentage.
@@ -35,10 +41,14 @@ BAND = 1.2
 SAMPLE, SAMPLE_CHARS = 2000, 50_000
 #: Ids that may be sent to every task: 8 bytes each.
 SMALL = 1_000_000
-#: 64-bit words of the parity sketch.
-SKETCH = 8
+#: 64-bit words of the parity sketch, and of the finer one that what passes it has to pass.
+SKETCH, FINE = 8, 32
 #: Bytes hashed, and rows answered, at a time.
 CHUNK, ROWS = 1_000_000, 500
+#: Index keys of a batch (of one document at least), and of a range in which keys are probed.
+BATCH_KEYS, RANGE_KEYS = 1_000_000, 2_500_000
+#: Partners of a hub that are verified in one task.
+PARTNERS = 200
 
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,9 +263,14 @@ def allot(sets: Sequence[np.ndarray], band: int, need: int, segments: int, scale
 
 
 def sketch(elements: np.ndarray) -> np.ndarray:
-    """Parity of the number of elements in each of 64 x SKETCH cells: differing bits are at most differing elements."""
-    odd = np.bincount((elements & _U(64 * SKETCH - 1)).astype(np.int64), minlength=64 * SKETCH) & 1
-    return np.packbits(odd.astype(bool)).view(np.int64)
+    """Parity of the number of elements in each of 64 x FINE cells: differing bits are at most differing elements."""
+    odd = np.bincount((elements & _U(64 * FINE - 1)).astype(np.int64), minlength=64 * FINE) & 1
+    return np.packbits(odd.astype(bool))
+
+
+def folded(sketch: bytes) -> np.ndarray:
+    """The same with 64 x SKETCH cells, as longs."""
+    return np.bitwise_xor.reduce(np.frombuffer(sketch, np.int64).reshape(-1, SKETCH))
 
 
 def _fingerprint(elements: np.ndarray) -> tuple[int, int]:
@@ -280,21 +295,171 @@ def _sketches_allow(a: str, b: str, percent: int) -> Column:
     return differ * (100 + percent) <= (F.col(f"{a}.n") + F.col(f"{b}.n")) * (100 - percent)
 
 
-def _verified(pairs: DataFrame, documents: DataFrame, words: int, percent: int) -> DataFrame:
-    """Pairs (a, b), a < b, whose sets are similar. ``pairs``: a written table of distinct pairs."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+def _indexed(shared, words: int, ranges: int, kind: pa.DataType):
+    """Sets, index keys and fingerprints of documents by batch; and the packed keys of each batch."""
+    names = ["batch", "doc_id", "n", "f", "g", "sketch", "keys", "range", "m", "packed"]
+
+    def emit(name: str, ids: pa.Array, rows: list[tuple], keys: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        null = lambda t, n: pa.nulls(n, t)
+        count = len(rows)
+        sizes, prints, sketches = zip(*rows)
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array([name] * count),
+                ids,
+                pa.array(sizes, pa.int64()),
+                pa.array([p[0] for p in prints], pa.int64()),
+                pa.array([p[1] for p in prints], pa.int64()),
+                pa.array([s.tobytes() for s in sketches], pa.binary()),
+                pa.array([k.tobytes() for k in keys], pa.binary()),
+                null(pa.int64(), count),
+                null(pa.int32(), count),
+                null(pa.binary(), count),
+            ],
+            names=names,
+        )
+        owner = np.repeat(np.arange(count), [len(k) for k in keys])
+        probe = range_keys(np.concatenate(keys).view(np.uint64), ranges) if count else np.zeros(0, np.uint64)
+        order = np.argsort(probe, kind="stable")
+        first = firsts(probe[order])
+        if not len(first):
+            return
+        own, whose = probe[order][first], owner[order]
+        # Of rows with one fingerprint, the last that has the key stands for all.
+        _, alike = np.unique(np.array([p[0] for p in prints]), return_inverse=True)
+        again = np.minimum.reduceat(alike[whose], first) != np.maximum.reduceat(alike[whose], first)
+        parts = by_range(own)
+        data = [packed((own[w] & LOW).astype(np.uint32), again[w]) for _, w in parts]
+        k = len(parts)
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array([name] * k),
+                null(kind, k),
+                null(pa.int64(), k),
+                null(pa.int64(), k),
+                null(pa.int64(), k),
+                null(pa.binary(), k),
+                null(pa.binary(), k),
+                pa.array([r for r, _ in parts], pa.int64()),
+                pa.array([w.stop - w.start for _, w in parts], pa.int32()),
+                pa.array(data, pa.binary()),
+            ],
+            names=names,
+        )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, part, number = shared.value, TaskContext.get().partitionId(), 0
+        ids, rows, keys, held = [], [], [], 0
+
+        def batch() -> Iterator[pa.RecordBatch]:
+            yield from emit(f"{part}-{number}", pa.concat_arrays(ids), rows, keys)
+
+        for piece in _slices(batches):
+            for s, i in zip(shingle_sets(piece.column(1).cast(pa.binary()).to_pylist(), words), range(piece.num_rows)):
+                if held >= BATCH_KEYS:
+                    yield from batch()
+                    ids, rows, keys, held, number = [], [], [], 0, number + 1
+                ids.append(piece.column(0).slice(i, 1))
+                rows.append((len(s), _fingerprint(s), sketch(s)))
+                keys.append(known.keys(s))
+                held += len(keys[-1])
+        if rows:
+            yield from batch()
+
+    return run
+
+
+def _seen(block: pa.Table) -> pa.Table:
+    """For each batch of a range: which of its keys another set has too."""
+    many, (again,), order, first = seen_again(block, 1)
+    return answers(block, spread(many | again, order, first))
+
+
+def _alive(ranges: int):
+    """Of a batch's sets, those that stand for a class, with the keys that another set has too."""
+
+    def run(rows: pa.Table, told: pa.Table) -> pa.Table:
+        keys = [np.frombuffer(k, np.int64) for k in rows.column("keys").to_pylist()]
+        every = np.concatenate([*keys, np.zeros(0, np.int64)])
+        probe = range_keys(every.view(np.uint64), ranges)
+        order = np.argsort(probe, kind="stable")
+        first = firsts(probe[order])
+        own = probe[order][first]
+        live = spread(answered(told.filter(pc.is_valid(told.column("range"))), by_range(own) if len(own) else [], len(own)), order, first)
+        ends = np.cumsum([len(k) for k in keys])
+        names = told.filter(pc.is_valid(told.column("v")))
+        known = {(f, g, n): v for f, g, n, v in zip(*(names.column(c).to_pylist() for c in ("f", "g", "n", "v")))}
+        out: list[tuple] = []
+        for i, of in enumerate(zip(*(rows.column(c).to_pylist() for c in ("f", "g", "n")))):
+            # A class is taken from the first of its rows.
+            v = known.pop(of, None)
+            if v is not None:
+                out.append((v, of[2], i, keys[i][live[ends[i] - len(keys[i]) : ends[i]]]))
+        fine = [rows.column("sketch")[o[2]].as_py() for o in out]
+        values = [[o[0] for o in out], [o[1] for o in out], [folded(s) for s in fine], fine, [o[3] for o in out]]
+        types = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.int64())]
+        return pa.table([pa.array(v, t) for v, t in zip(values, types)], names=["id", "n", "sketch", "fine", "keys"])
+
+    return run
+
+
+def _finely_allowed(pairs: DataFrame, vertices: DataFrame, percent: int) -> DataFrame:
+    """Pairs that the finer sketches allow too; there are few left of those that share keys."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            left, right = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(-1, FINE) for c in (3, 5))
+            total = batch.column(2).to_numpy() + batch.column(4).to_numpy()
+            fit = np.bitwise_count(left ^ right).sum(axis=1, dtype=np.int64) * (100 + percent) <= total * (100 - percent)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(fit))
+
+    sides = [vertices.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("fine").alias(f"fine{x}")) for x in ("a", "b")]
+    joined = pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "na", "finea", "nb", "fineb")
+    return joined.mapInArrow(run, "a long, b long")
+
+
+def _verified(pairs: DataFrame, classes: DataFrame, documents: DataFrame, words: int, percent: int) -> DataFrame:
+    """Pairs (a, b), a < b, of classes whose sets are similar. ``pairs``: a written table of distinct pairs.
+
+    The texts of these classes are read again. The partners of a class are dealt into groups, and each group meets
+    the one set of its class in a task, so no pair carries two sets.
+    """
+    ids = written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "candidates")
+    wanted = written(_only(classes, ids, "id").select("id", "doc_id", "f", "g", "n"), "wanted")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _slices(batches):
             made = shingle_sets(batch.column(1).cast(pa.binary()).to_pylist(), words)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.view(np.int64) for s in made], pa.list_(pa.int64()))], names=["id", "elements"])
+            prints = [_fingerprint(s) for s in made]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), *(pa.array([p[i] for p in prints], pa.int64()) for i in (0, 1)), pa.array([len(s) for s in made], pa.int64()), pa.array([s.tobytes() for s in made], pa.binary())],
+                names=["doc_id", "f", "g", "n", "elements"],
+            )
+
+    texts = _only(documents.where("doc_id is not null and text is not null").select("doc_id", "text"), wanted.select("doc_id").distinct(), "doc_id")
+    made = texts.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(documents.dtypes)['doc_id']}, f long, g long, n long, elements binary")
+    # Rows that repeat an id with one text give one set.
+    sets = written(made.join(wanted, ["doc_id", "f", "g", "n"]).groupBy("id").agg(F.any_value("elements").alias("elements")), "sets")
+
+    groups = pairs.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).cast("int").alias("groups"))
+    dealt = pairs.join(groups, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("groups")).cast("int").alias("part"))
+    # Both sides come from the same tables, so columns get names of their own.
+    partners = dealt.join(sets.select(F.col("id").alias("b"), F.col("elements").alias("theirs")), "b").select(F.col("a").alias("hub"), "part", "b", "theirs")
+    hubs = groups.select("a", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("group")).join(sets.select(F.col("id").alias("a"), F.col("elements").alias("own")), "a")
+
+    def meet(hub: pa.Table, others: pa.Table) -> pa.Table:
+        found: list[tuple[int, int]] = []
+        if hub.num_rows:
+            own, a = np.frombuffer(hub.column("own")[0].as_py(), np.uint64), hub.column("a")[0].as_py()
+            for b, elements in zip(others.column("b").to_pylist(), others.column("theirs")):
+                other = np.frombuffer(elements.as_py(), np.uint64)
+                at = np.minimum(np.searchsorted(own, other), len(own) - 1)
+                common = int((own[at] == other).sum())
+                if common * 100 >= (len(own) + len(other) - common) * percent:
+                    found.append((a, b))
+        return pa.table([pa.array([p[i] for p in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
-    rows = documents.where("doc_id is not null and text is not null").select(F.col("doc_id").alias("id"), "text")
-    sets = written(_only(rows, written(ids, "candidates"), "id").mapInArrow(run, f"id {dict(rows.dtypes)['id']}, elements array<long>"), "sets")
-    side = lambda name: sets.select(F.col("id").alias(name), F.col("elements").alias(f"{name}_set"))
-    joined = pairs.join(side("a"), "a").join(side("b"), "b")
-    common = F.size(F.array_intersect("a_set", "b_set"))
-    return joined.where(common * 100 >= (F.size("a_set") + F.size("b_set") - common) * percent).select("a", "b").distinct()
+    return hubs.groupBy("a", "group").cogroup(partners.groupBy("hub", "part")).applyInArrow(meet, "a long, b long")
 
 
 def near_duplicates(documents: DataFrame, *, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -306,45 +471,47 @@ def near_duplicates(documents: DataFrame, *, words: int = WORDS, percent: int =
     doc_id links with nothing and has a null component. Rows that repeat a doc_id are one vertex. Other columns are not
     read. Shingles are compared by 64-bit hashes (a wrong match within a pair has a chance below 1e-10).
     """
+    with brief_shuffles(documents.sparkSession):
+        return _near_duplicates(documents, words, percent)
+
+
+def _near_duplicates(documents: DataFrame, words: int, percent: int) -> DataFrame:
     spark = documents.sparkSession
-    kind = dict(documents.dtypes)["doc_id"]
     rows = documents.select("doc_id", "text")
+    kind = dict(rows.dtypes)["doc_id"]
     size = rows.agg(F.count("*"), F.max(F.octet_length("text"))).first()
     index = Index((size[1] or 1) // 2 + 2, percent)
     few = rows.where((F.length("text") <= SAMPLE_CHARS) & (F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < min(1_000_000, -(-1_500_000 * SAMPLE // max(1, size[0])))))
     drawn = few.select(F.xxhash64("text").alias("h"), "text").orderBy("h", "text").limit(SAMPLE).collect()
-    index.fit(shingle_sets(sorted({r["text"].encode() for r in drawn}), words), size[0])
+    sample = shingle_sets(sorted({r["text"].encode() for r in drawn}), words)
+    index.fit(sample, size[0])
+    # Ranges for about as many keys as the sample lets expect; another number changes their sizes only.
+    ranges = max(1, -(-int(sum(len(index.keys(s)) for s in sample) / max(1, len(sample)) * size[0]) // RANGE_KEYS))
     shared = spark.sparkContext.broadcast(index)
+    arrow = spark.createDataFrame([], f"doc_id {kind}").toArrow().schema.field("doc_id").type
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
-        for batch in _slices(batches):
-            made = shingle_sets(batch.column(1).cast(pa.binary()).to_pylist(), words)
-            prints = [_fingerprint(s) for s in made]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    pa.array([len(s) for s in made], pa.int64()),
-                    pa.array([p[0] for p in prints], pa.int64()),
-                    pa.array([p[1] for p in prints], pa.int64()),
-                    pa.array([sketch(s) for s in made], pa.list_(pa.int64())),
-                    pa.array([known.keys(s) for s in made], pa.list_(pa.int64())),
-                ],
-                names=["doc_id", "n", "f", "g", "sketch", "keys"],
-            )
-
-    sets = written(rows.mapInArrow(run, f"doc_id {kind}, n long, f long, g long, sketch array<long>, keys array<long>"), "shingles")
-    # Equal sets are one vertex, named by the smallest id. Copies collapse before they are shuffled.
+    fields = f"batch string, doc_id {kind}, n long, f long, g long, sketch binary, keys binary, range long, m int, packed binary"
+    base = written(rows.mapInArrow(_indexed(shared, words, ranges, arrow), fields), "shingles")
+    shared.unpersist()
+    sets = base.where("range is null").select("batch", "doc_id", "n", "f", "g")
+    # Equal sets are one class, with the smallest of its ids. Copies collapse before they are shuffled.
     full = sets.where("n > 0 and doc_id is not null")
-    names = written(full.groupBy("f", "g", "n").agg(F.min("doc_id").alias("id")).select("id", "f", "g", "n"), "classes")
-    vertices = _only(full.withColumnRenamed("doc_id", "id"), names, "id")
+    classes = full.groupBy("f", "g", "n").agg(F.min(F.struct("doc_id", "batch")).alias("least")).select(F.monotonically_increasing_id().alias("id"), "f", "g", "n", "least.*")
+    classes = written(classes, "classes")
+    seen = base.where("range is not null").select("batch", "range", F.col("m").alias("n"), "packed").groupBy("range").applyInArrow(_seen, ANSWERS)
+    nothing = [F.lit(None).cast("long").alias(c) for c in ("f", "g", "n", "v")]
+    named = classes.select("batch", F.lit(None).cast("long").alias("range"), F.lit(None).cast("binary").alias("bits"), "f", "g", "n", F.col("id").alias("v"))
+    told = written(seen.select("batch", "range", "bits", *nothing).union(named), "told")
+    able = base.where("range is null and n > 0 and doc_id is not null").select("batch", "f", "g", "n", "sketch", "keys")
+    vertices = able.groupBy("batch").cogroup(told.groupBy("batch")).applyInArrow(_alive(ranges), "id long, n long, sketch array<long>, fine binary, keys array<long>")
+    vertices = written(vertices, "vertices")
+    info = vertices.select("id", "n", "sketch")
     keyed = vertices.select("id", F.explode("keys").alias("key"))
     counted = keyed.groupBy("key").agg(F.count("*").alias("m"), F.min("id").alias("a"), F.max("id").alias("b")).where("m > 1")
     counted = written(counted, "keys")
-    info = vertices.select("id", "n", "sketch").distinct()
 
-    # Keys of more than two sets: their members, and the hub of each.
-    members = written(_only(keyed, written(counted.where("m > 2 and a <> b").select("key"), "busy"), "key"), "members")
+    # Keys of more than two classes: their members, and the hub of each.
+    members = written(_only(keyed, written(counted.where("m > 2").select("key"), "busy"), "key"), "members")
     often = members.groupBy("id").agg(F.count("*").alias("often"))
     hubs = members.join(often, "id").groupBy("key").agg(F.min_by("id", F.struct(-F.col("often"), "id")).alias("hub"))
     tied = written(members.join(hubs, "key"), "hubs")
@@ -357,7 +524,14 @@ def near_duplicates(documents: DataFrame, *, words: int = WORDS, percent: int =
         return joined.where(_similar_sizes(F.col("x.n"), F.col("y.n"), percent) & _sketches_allow("x", "y", percent)).select("a", "b")
 
     first = written(candidates(counted.where("m = 2").select("a", "b").union(tied.select(F.col("id").alias("a"), F.col("hub").alias("b")))), "pairs")
-    links = written(_verified(first, documents, words, percent), "links")
+    links = written(_verified(written(_finely_allowed(first, vertices, percent), "likely"), classes, documents, words, percent), "links")
+
+    # Classes that hold one id are linked through it.
+    placed = full.select("doc_id", "f", "g", "n").distinct()
+    repeated = written(placed.groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
+    if not repeated.isEmpty():
+        own = written(_only(placed, repeated, "doc_id").join(classes.select("id", "f", "g", "n"), ["f", "g", "n"]).select("doc_id", "id"), "own")
+        links = links.union(own.join(own.groupBy("doc_id").agg(F.min("id").alias("a")), "doc_id").where("a <> id").select("a", F.col("id").alias("b")))
 
     # Members of a key that are not in its hub's component yet meet all other members of the key.
     reached = written(components(links), "components")
@@ -377,10 +551,13 @@ def near_duplicates(documents: DataFrame, *, words: int = WORDS, percent: int =
         )
     )
     pairs = pair.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    later = _verified(written(pairs, "pairs"), documents, words, percent)
+    likely = written(_finely_allowed(written(pairs, "pairs"), vertices, percent), "likely")
+    later = _verified(likely, classes, documents, words, percent)
     final = components(written(links.union(later), "links").select("a", "b"))
 
-    named = names.join(final.withColumnRenamed("node", "id"), "id", "left").select("f", "g", "n", F.coalesce("component", "id").alias("component_id"))
+    joined = classes.join(final.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    least = joined.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    named = written(joined.join(least, "component").select("f", "g", "n", "component_id"), "named")
     known = full.select("doc_id", "n", "f", "g").join(named, ["f", "g", "n"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     rest = sets.where("not (n > 0 and doc_id is not null)").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return known.union(rest)
