@@ -34,8 +34,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     again = written(found.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id"), "again")
     if again.isEmpty():
         return kept
-    once = kept.join(again, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
-    return kept.join(again, "doc_id", "left_anti").select(*docs.columns).union(once)
+    # The same row on every run: the smallest by a hash of its text, then by all its columns.
+    repeated = kept.join(again, "doc_id", "left_semi").select(*docs.columns)
+    once = repeated.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("_h"), F.struct(*docs.columns).alias("_row"))).alias("_least"))
+    return kept.join(again, "doc_id", "left_anti").select(*docs.columns).union(once.select("_least._row.*"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
