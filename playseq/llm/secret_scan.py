@@ -23,7 +23,7 @@ _TO = rf"(?i:{_WORD})s?[\"'\])]{{0,2}}\s{{0,2}}[:=]{{1,2}}\s{{0,2}}"
 #: A value assigned to a credential: all of a quoted one, or a run without spaces and quotes.
 GIVEN = rf"""(?<=")(?<={_TO}")[^"\r\n]{{6,}}+(?=")|(?<=')(?<={_TO}')[^'\r\n]{{6,}}+(?=')|(?<=[:=\s"'`])(?<={_TO}["'`]?)(?![:=])[^\s"'`]{{6,}}+"""
 #: Or a run of at least 12 key characters that holds a digit. Both are possessive, so that no text makes them backtrack.
-CANDIDATE = rf"{GIVEN}|(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]{{0,200}}[0-9])[A-Za-z0-9+/_-]{{12,}}+={{0,2}}"
+CANDIDATE = rf"{GIVEN}|(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{{12,}}+={{0,2}}"
 #: Most labelled findings of either class that are learned from.
 PER_CLASS = 5000
 TREES, DEPTH, SEED = 20, 6, 11
@@ -216,18 +216,18 @@ def redact(documents: DataFrame, mark: str = "[SECRET]", path: str = "source") -
     Whole values are replaced, the same value everywhere in the corpus. Rows, null texts and all other columns stay.
     """
     columns = documents.columns
-    # Documents with a null id go by their texts, so that they don't meet in one group.
-    documents = documents.withColumn("_key", F.coalesce(F.concat(F.lit("i"), F.col("doc_id").cast("string")), F.sha2(F.col("text").cast("binary"), 256)))
-    found = written(candidates(documents, ("_key",), path), "candidates")
-    secret = classify(found, fit_by_default(found)).where("secret").select("value").distinct()
-    secret = written(secret, "secrets")
-    # Texts with a secret: by document; the values to replace are collected per document, and bounded by its text.
+    # By the text: equal texts hold equal values, so what is collected for a key is bounded by one text. The row is packed,
+    # so that no column clashes with a name used here.
+    key = F.sha2(F.col("text").cast("binary"), 256).alias("_key")
+    given = documents.select(key, "text", *([path] if path in columns and path not in ("text", "_key") else []))
+    found = written(candidates(given, ("_key",), path), "candidates")
+    secret = written(classify(found, fit_by_default(found)).where("secret").select("value").distinct(), "secrets")
     held = found.join(secret, "value", "left_semi").groupBy("_key").agg(F.collect_set("value").alias("_values"))
-    joined = documents.join(written(held, "held"), "_key", "left")
+    joined = documents.select(F.struct(*columns).alias("_row"), key).join(written(held, "held"), "_key", "left")
     # Longest first, so that a value inside another one does not break it.
     ordered = F.array_sort("_values", lambda a, b: F.length(b) - F.length(a))
-    clean = F.when(F.col("_values").isNull(), F.col("text")).otherwise(F.aggregate(ordered, F.col("text"), lambda t, v: F.replace(t, v, F.lit(mark))))
-    out = joined.withColumn("text", clean)
+    clean = F.aggregate(ordered, F.col("_row.text"), lambda t, v: F.replace(t, v, F.lit(mark)))
+    row = F.col("_row").withField("text", clean)
     if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.when(F.col("_values").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(dict(documents.dtypes)["n_chars"])))
-    return out.select(*columns)
+        row = row.withField("n_chars", F.length(clean).cast(dict(documents.dtypes)["n_chars"]))
+    return joined.select(F.when(F.col("_values").isNull(), F.col("_row")).otherwise(row).alias("_row")).select("_row.*")
