@@ -71,7 +71,8 @@ def mix(documents: DataFrame, *, weights: Sequence[float] = WEIGHTS, schedules=S
     its words. So a source's taken words equal its target, rounded, and nothing exceeds twice its size (``most`` <= 2).
 
     The walk needs running sums within a source. They are taken within 4096 slices of the order key, and a table of the
-    slices' sums carries them across, so a source with a third of all rows spreads over thousands of groups.
+    slices' sums carries them across, so a source with a third of all rows spreads over thousands of groups. Rows with one
+    id and size are walked as one row for each partition they were read in, and dealt out again before they are repeated.
 
     Null texts, and texts without words, have size 0 and take nothing. A null source is a source of its own, last in
     order; a null doc_id comes first in its source. Repeated rows count each. An empty table gives an empty result.
@@ -82,19 +83,23 @@ def mix(documents: DataFrame, *, weights: Sequence[float] = WEIGHTS, schedules=S
     key = F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col("source")))
     order = F.coalesce(F.md5(F.col("doc_id").cast("string").cast("binary")), F.lit(""))
     size = F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("long")
-    sized = written(documents.select("doc_id", "source", key.alias("_key"), size.alias("size"), order.alias("_order")), "sizes")
-    sized = sized.withColumn("_slice", F.substring("_order", 1, SLICE))
+    sized = written(documents.select("doc_id", "source", key.alias("_key"), size.alias("size"), order.alias("_order"), F.spark_partition_id().alias("_part")), "sizes")
+    alike = sized.groupBy("_key", "_order", "doc_id", "size", "_part").agg(F.first("source").alias("source"), F.count("*").alias("_copies"))
+    alike = written(alike.withColumn("_slice", F.substring("_order", 1, SLICE)), "alike")
 
-    slices = written(sized.groupBy("_key", "_slice").agg(F.first("source").alias("source"), F.sum("size").alias("_sum")), "slices")
+    slices = written(alike.groupBy("_key", "_slice").agg(F.first("source").alias("source"), F.sum(F.col("size") * F.col("_copies")).alias("_sum")), "slices")
     targets = source_targets(slices.groupBy("_key").agg(F.first("source").alias("source"), F.sum("_sum").alias("source_size")).drop("_key"), weights, share, most)
     targets = targets.withColumn("_key", key).drop("source")
     before = F.coalesce(F.sum("_sum").over(Window.partitionBy("_key").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = slices.select("_key", "_slice", before.alias("_before")).join(targets, "_key")
     words = float(targets.agg(F.sum("source_size")).first()[0] or 0) * share
 
-    inner = Window.partitionBy("_key", "_slice").orderBy("_order", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    walked = sized.withColumn("_inner", F.coalesce(F.sum("size").over(inner), F.lit(0))).join(offsets, ["_key", "_slice"])
-    start, goal = F.col("_before") + F.col("_inner"), F.round("target").cast("long")
+    inner = Window.partitionBy("_key", "_slice").orderBy("_order", "doc_id", "size", "_part").rowsBetween(Window.unboundedPreceding, -1)
+    walked = alike.withColumn("_inner", F.coalesce(F.sum(F.col("size") * F.col("_copies")).over(inner), F.lit(0))).join(offsets, ["_key", "_slice"])
+    # Copies come from one partition of the input each; they are dealt by it before they become rows again.
+    dealt = walked.repartition("_key", "_order", "doc_id", "size", "_part")
+    walked = dealt.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_copies") - 1)).alias("_copy"))
+    start, goal = F.col("_before") + F.col("_inner") + F.col("_copy") * F.col("size"), F.round("target").cast("long")
     taken = [F.greatest(F.least(goal - at, F.col("size")), F.lit(0)) for at in (start, start + F.col("source_size"))]
 
     def position(at: Column) -> Column:
