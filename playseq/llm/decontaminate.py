@@ -1,8 +1,9 @@
 """Benchmark decontamination with one Aho-Corasick automaton over normalised benchmark texts.
 
-Texts are normalised to words; the automaton's alphabet is the benchmark's vocabulary, its patterns are runs of
-consecutive item words. Each document is scanned once. Word positions of hits are mapped back to character offsets of
-the original text.
+Texts are normalised to words, and the automaton's patterns are runs of consecutive item words. Its nodes look for a
+letter among their children one by one, so words are not letters themselves: each word of the benchmark's vocabulary is
+spelled as a fixed number of digits of a small base, and matches that end within a word are passed over. Each document
+is scanned once. Word positions of hits are mapped back to character offsets of the original text.
 """
 
 from __future__ import annotations
@@ -21,7 +22,9 @@ from playseq.operators.storage import written
 WINDOW = 10
 #: Benchmark text, in bytes, that one automaton (and one broadcast) may hold; a larger benchmark is scanned in blocks.
 #: Each task builds the automaton, which takes many times as much memory as its text.
-BLOCK_BYTES = 4_000_000
+BLOCK_BYTES = 1_500_000
+#: Most digits' values, so most children of a node.
+BASE = 256
 
 # Words are runs of 0-9, a-z, A-Z and everything beyond ASCII; A-Z is lower-cased. In UTF-8 this is a table of bytes.
 _FOLD = bytes((b + 32 if 65 <= b <= 90 else b) if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
@@ -39,24 +42,35 @@ def windows(text: bytes | None, size: int = WINDOW) -> list[tuple[bytes, ...]]:
     return [tuple(item[i : i + size]) for i in range(len(item) - size + 1)]
 
 
+def spelled(number: int, digits: int) -> str:
+    """``number`` in ``digits`` letters of an alphabet of BASE."""
+    return "".join(chr(33 + number // BASE**i % BASE) for i in range(digits))
+
+
 class Automaton:
     """Scans word lists for the windows of items. ``items``: pairs of id (or None) and text as UTF-8."""
 
     def __init__(self, items: Sequence[tuple[str | None, bytes | None]], size: int = WINDOW):
-        self.ids: dict[bytes, int] = {}
-        owners: dict[tuple[int, ...], frozenset[str]] = {}
+        self.codes: dict[bytes, str] = dict.fromkeys(w for _, text in items for w in words(text))
+        self.digits = 1
+        while BASE**self.digits <= len(self.codes):
+            self.digits += 1
+        # Number 0 is left to the words of documents that no item has.
+        self.codes = {w: spelled(i, self.digits) for i, w in enumerate(self.codes, 1)}
+        self.unknown = spelled(0, self.digits)
+        owners: dict[str, frozenset[str]] = {}
         for item, text in items:
             # One set for all windows of an item, where no other item has them.
             mine = frozenset([item] if item is not None else [])
             for window in windows(text, size):
-                key = tuple(self.ids.setdefault(w, len(self.ids) + 1) for w in window)
+                key = "".join([self.codes[w] for w in window])
                 had = owners.get(key)
                 owners[key] = mine if had is None else had if mine <= had else had | mine
-        self.tree = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+        self.tree = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_STRING)
         self.empty = not owners
         while owners:
             key, who = owners.popitem()
-            self.tree.add_word(key, (len(key), who))
+            self.tree.add_word(key, (len(key) // self.digits, who))
         if not self.empty:
             self.tree.make_automaton()
 
@@ -66,13 +80,16 @@ class Automaton:
         items: set[str] = set()
         if self.empty or not found:
             return spans, items
-        known = self.ids.get
-        for end, (size, who) in self.tree.iter(tuple([known(w, 0) for w in found])):
+        known, unknown, digits = self.codes.get, self.unknown, self.digits
+        for at, (size, who) in self.tree.iter("".join([known(w, unknown) for w in found])):
+            end, part = divmod(at + 1, digits)
+            if part:
+                continue
             items |= who
-            start = end + 1 - size
+            start = end - size
             while spans and spans[-1][1] >= start:
                 start = min(start, spans.pop()[0])
-            spans.append((start, end + 1))
+            spans.append((start, end))
         return spans, items
 
 
