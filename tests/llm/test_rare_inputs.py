@@ -3,13 +3,14 @@
 import re
 import subprocess
 import sys
+import time
 from datetime import date, datetime, timedelta
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from playseq.llm import decontaminate, ngram_join, pii, secret_scan, toxicity
+from playseq.llm import decontaminate, mixing, ngram_join, pii, secret_scan, toxicity
 from playseq.llm.common import table
 from tests.conftest import collected
 
@@ -137,3 +138,75 @@ print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024)
 """
     made = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=300, check=True)
     assert int(made.stdout) < 1000, made.stdout
+
+
+def test_redact_of_one_id_is_linear_and_keeps_columns(spark):
+    rows = spark.range(20_000).select(F.lit(7).cast("long").alias("doc_id"), F.concat(F.lit('token = "'), F.sha1(F.col("id").cast("string")), F.lit('" here')).alias("text"), F.lit("a.py").alias("source"), F.lit("mine").alias("_key"))
+    start = time.perf_counter()
+    got = secret_scan.redact(rows)
+    assert got.columns == rows.columns
+    found = got.agg(F.count("*"), F.count_if(F.col("text") == 'token = "[SECRET]" here'), F.count_if(F.col("_key") == "mine")).first()
+    assert tuple(found) == (20_000, 20_000, 20_000)
+    assert time.perf_counter() - start < 60
+
+
+def test_long_run_with_a_late_digit_is_a_candidate(spark):
+    for letters in (150, 210, 5000):
+        df = spark.createDataFrame([(1, "x " + "q" * letters + "7 y", "s")], "doc_id long, text string, source string")
+        assert [len(r.value) for r in secret_scan.candidates(df).collect()] == [letters + 1]
+    # Texts without a digit after a long run take no longer for it.
+    df = spark.createDataFrame([(1, "q" * 300_000 + " : " + "ab-" * 100_000, "s")], "doc_id long, text string, source string")
+    assert secret_scan.candidates(df).where("start < 300000").count() == 0
+
+
+def test_candidates_equal_a_plain_version(spark):
+    docs = table(spark, MID, "documents")
+    plain = set()
+    for row in docs.select("doc_id", "text").collect():
+        text = row.text or ""
+        for m in re.finditer(r"[A-Za-z0-9+/_-]+", text):
+            given = re.search(r"(?i)(token|secret|passw(or)?d|passphrase|pwd|api[_-]?key|access[_-]?key|auth|bearer|credential|private[_-]?key)s?[\"'\])]{0,2}\s{0,2}[:=]{1,2}\s{0,2}[\"'`]?$", text[: m.start()][-60:])
+            if len(m[0]) >= 12 and re.search("[0-9]", m[0]) and not given:
+                plain.add((row.doc_id, m.start(), m[0] + re.match("={0,2}", text[m.end() :])[0]))
+    found = {(r.doc_id, r.start, r.value) for r in secret_scan.candidates(docs).collect()}
+    assert plain <= found
+    assert all(re.search("[:=]", docs.where(F.col("doc_id") == i).first().text[:s][-12:]) for i, s, _ in list(found - plain)[:20])
+
+
+def test_mixing_of_a_repeated_id(spark):
+    """A third of the rows under one id: the same result as with ids of their own, up to which of them gives a part."""
+    docs = spark.range(3000).select(F.when(F.col("id") % 3 == 0, 1).otherwise(F.col("id")).cast("long").alias("doc_id"), F.lit("a").alias("source"), F.lit("w x y").alias("text"))
+    rows = mixing.mix(docs.repartition(7)).collect()
+    assert len(rows) == 3000 and sum(r.taken for r in rows) == round(rows[0].target)
+    assert all(r.taken <= 2 * r.size for r in rows)
+    again = mixing.mix(docs.repartition(3)).collect()
+    assert sorted(map(tuple, rows), key=repr) == sorted(map(tuple, again), key=repr)
+    # Positions of the copies follow each other as those of other documents do.
+    places = sorted(r.position for r in rows)
+    assert len(set(places)) == 3000
+
+
+def test_automaton_of_a_large_vocabulary():
+    """Building and scanning depend on the words, not on how many different ones there are."""
+    rng = np.random.default_rng(4)
+    took = {}
+    for vocabulary in (200, 20_000, 300_000):
+        names = [f"w{i}" for i in range(vocabulary)]
+        items = [(str(i), " ".join(names[k] for k in rng.integers(0, vocabulary, 200)).encode()) for i in range(400)]
+        automaton = decontaminate.Automaton(items)
+        text = [names[k].encode() for k in rng.integers(0, vocabulary, 20_000)] + decontaminate.words(items[7][1])[50:75]
+        start = time.perf_counter()
+        spans, who = automaton.scan(text)
+        took[vocabulary] = time.perf_counter() - start
+        assert spans[-1] == (20_000, 20_025) and "7" in who
+    assert took[300_000] < 10 * took[200] + 0.05
+
+
+def test_one_id_with_many_texts_is_one_vertex(spark):
+    rng = np.random.default_rng(6)
+    words = [f"w{i}" for i in range(2000)]
+    base = [" ".join(words[k] for k in rng.integers(0, 2000, 40)) for _ in range(300)]
+    rows = [(9, t) for t in base] + [(3, base[0]), (20 + 0, base[299]), (4000, "something else entirely that nobody else has written")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    got = {r.doc_id: r.component_id for r in ngram_join.near_duplicates(df).collect()}
+    assert got == {9: 3, 3: 3, 20: 3, 4000: 4000}
