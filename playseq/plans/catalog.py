@@ -729,9 +729,10 @@ def scoreboard_texts(spark, folder, *extra) -> DataFrame:
 LANDING = ("league", "season", "seasontype", "week")
 
 
-def landed(docs: DataFrame, path: str) -> None:
+def landed(docs: DataFrame, path: str, *folders: str) -> None:
     """Write documents into a landing area: one file of lines per folder, newer than what is there."""
-    docs.repartition(*LANDING).select("document", *LANDING).write.mode("append").partitionBy(*LANDING).text(path)
+    folders = folders or LANDING
+    docs.repartition(*folders).select("document", *folders).write.mode("append").partitionBy(*folders).text(path)
 
 
 @query
@@ -828,13 +829,18 @@ def json_plays(spark, folder):
     )
 
 
+def two_versions():
+    """A summary as first reported, and its correction, whose numbers come as texts and with decimals too."""
+    older = F.replace("document", F.lit('"text":"'), F.lit('"text":"Old '))
+    newer = F.regexp_replace("document", '"homeScore":([0-9]*[02468]),', '"homeScore":"$1",')
+    return older, F.regexp_replace(newer, '"statYardage":([0-9]+),', '"statYardage":$1.0,')
+
+
 @query
 def json_entries(spark, folder):
-    """Entries from two versions of each summary; numbers of the newer one come as texts and with decimals too."""
+    """Entries from two versions of each summary."""
     texts = summary_texts(spark, folder, 30_000)
-    older = F.replace("document", F.lit('"text":"'), F.lit('"text":"Old '))
-    newer = F.regexp_replace("document", '"homeScore":([0-9]*[02468]),', '"homeScore":"$1",')
-    newer = F.regexp_replace(newer, '"statYardage":([0-9]+),', '"statYardage":$1.0,')
+    older, newer = two_versions()
 
     def version(document, day: str, name: str) -> DataFrame:
         stamps = {"document": document, "fetched_at": F.lit(day).cast("timestamp"), documents.FILE: F.lit(name)}
@@ -933,8 +939,7 @@ def stream_equals_batch(spark, folder):
         .start()
     )
     running.awaitTermination()
-    latest = snapshots.latest_rows(spark.read.parquet(store.table("derived")))
-    return latest.select("game_id", "ord", "down", "qc_issue")
+    return refresh.recomputed(spark, store, EVENT_ORDER).select("game_id", "ord", "down", "qc_issue")
 
 
 @query
@@ -952,3 +957,99 @@ def stream_alert_keys(spark, folder):
     )
     running.awaitTermination()
     return spark.read.parquet(path + "-out")
+
+
+#: Buckets of the stores below. They hold little, and every bucket of a block is a file.
+FEW_BUCKETS = 4
+
+
+def refreshed(spark, folder, store: refresh.Store, landing: str) -> None:
+    """Drain what has landed through both refresh streams."""
+    canonical = canonical_teams(spark, ["Texas", "Texas Tech"])
+    for running in refresh.start_refresh(spark, landing, store, team_overrides(spark), canonical, once=True, multi_line=False):
+        running.awaitTermination()
+
+
+def new_store(spark) -> tuple[refresh.Store, str]:
+    path = f"{shared_dir(spark)}/playseq/refresh-{uuid.uuid4().hex}"
+    return refresh.Store(f"{path}/store", buckets=FEW_BUCKETS), path
+
+
+def user_of(game_id: str = "game_id"):
+    return F.split(game_id, "-")[0].cast("long")
+
+
+@query
+def stream_refresh(spark, folder):
+    """Entries and versions after three batches of landing files.
+
+    Two thirds of the games land as first reported, the others corrected at once; two later batches correct a third each.
+    """
+    store, path = new_store(spark)
+    texts = written(summary_texts(spark, folder, 30_000), "texts")
+    older, newer = two_versions()
+    third = user_of() % 3
+    first = texts.withColumn("document", F.when(third == 0, newer).otherwise(older))
+    second, last = (texts.where(third == i).withColumn("document", newer) for i in (1, 2))
+    for batch in (first, second, last):
+        landed(batch, f"{path}/summaries", "league", "game_id")
+        refreshed(spark, folder, store, path)
+    entries = snapshots.latest_rows(store.read(spark, "entries"))
+    extra = ("play_index", "qc_issue", "gap_note", "fix_note", "is_placeholder")
+    return entries.select("game_id", "league", *mapping.ENTRY_COLUMNS, *extra, "version")
+
+
+@query
+def stream_games(spark, folder):
+    """The games list after three batches of scoreboards: all leagues; a shorter list of one; unreadable ones of the other."""
+    store, path = new_store(spark)
+    texts = written(scoreboard_texts(spark, folder, *schedule_columns()), "texts")
+    old = texts.withColumn("document", F.replace("document", F.lit('"now"'), F.lit('"old"')))
+    cut = texts.where(F.col("league") == "cfb").withColumn("document", F.substring("document", 1, 40))
+    for batch in (old, texts.where((F.col("league") == "nfl") & (F.col("doc_id") % 13 != 0)), cut):
+        landed(batch, f"{path}/scoreboards")
+        refreshed(spark, folder, store, path)
+    games = documents.with_game_date(snapshots.current_games(store.read(spark, "games"), "league"))
+    return games.drop("kickoff", "fetched_at", "source").withColumn("game_date", F.col("game_date").cast("string"))
+
+
+@query
+def refresh_one_game(spark, folder):
+    """Versions, plays and stalled alerts of all games: one batch, a forced refresh of one game, and a second batch.
+
+    The second batch repeats the documents of all other games in progress, so these stall; the refreshed one, read again
+    without news, does not.
+    """
+    store, path = new_store(spark)
+    texts = written(summary_texts(spark, folder, 30_000), "texts")
+    live = texts.where(user_of() % 5 == 0)
+    landed(texts, f"{path}/summaries", "league", "game_id")
+    refreshed(spark, folder, store, path)
+    chosen = live.agg(F.min("game_id")).first()[0]
+    refresh.refresh_game(spark, path, chosen, "cfb", store, team_overrides(spark), canonical_teams(spark, ["Texas", "Texas Tech"]), multi_line=False)
+    landed(live.where(F.col("game_id") != chosen), f"{path}/summaries", "league", "game_id")
+    refreshed(spark, folder, store, path)
+    headers = snapshots.latest_rows(store.read(spark, "headers")).select("game_id", "version", "play_count", "status")
+    stalled = store.read(spark, "alerts").where("type = 'stalled'").groupBy("game_id").agg(F.count("*").alias("stalled"))
+    return headers.join(stalled, "game_id", "left").fillna(0, ["stalled"])
+
+
+#: Batches of the query below, more than a merged block of a store holds.
+BATCHES = 20
+
+
+@query
+def stream_alert_store(spark, folder):
+    """Alerts (user, event type and day) that twenty batches raise once each, against a store of keys that never expire."""
+    stream, path = event_stream(spark, folder, BATCHES)
+    store = refresh.Store(path + "-store", buckets=FEW_BUCKETS)
+
+    def step(df, batch_id: int) -> None:
+        day = F.date_format("ts", "yyyy-MM-dd")
+        found = df.select("game_id", F.lit("INFO").alias("severity"), F.col("event_type").alias("type"), F.concat(F.lit("on "), day).alias("message")).distinct()
+        refresh.raise_alerts(alerts.with_alert_keys(found), alerts.with_alert_keys(found).limit(0), batch_id, store)
+
+    running = stream.writeStream.foreachBatch(step).option("checkpointLocation", path + "-progress").trigger(availableNow=True).start()
+    running.awaitTermination()
+    raised = store.read(spark, "alerts")
+    return raised.groupBy("game_id", "severity", "type", "message", "alert_key").agg(F.count("*").alias("times"))

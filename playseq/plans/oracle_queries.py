@@ -440,3 +440,22 @@ on_feed("play_viewer", f"SELECT game_id, play_index + 1 AS play_no, {_LOG}, qc_i
 
 on_entries("stream_equals_batch", "SELECT game_id, ord, down, qc_issue FROM {src}", O.issue_text)
 SQL["stream_alert_keys"] = """SELECT DISTINCT user_id AS game_id, event_type AS type, user_id || ':' || event_type AS alert_key FROM events"""
+_q = With()
+_found = O.pipeline(_q, _q.add("doc_feed", f"SELECT * EXCLUDE (drive_group, null_defaulted), {_names} FROM {_document_plays(_q, 30_000)}"))
+SQL["stream_refresh"] = _q.select(
+    f"""SELECT game_id, 'cfb' AS league, {ENTRY}, play_index, qc_issue, gap_note, fix_note, is_placeholder,
+    CAST(CASE WHEN CAST(split_part(game_id, '-', 1) AS BIGINT) % 3 = 0 THEN 1 ELSE 2 END AS BIGINT) AS version FROM {_found}"""
+)
+SQL["refresh_one_game"] = _q.select(
+    f"""SELECT game_id, CAST(CASE WHEN live THEN 2 ELSE 1 END AS BIGINT) AS version, n AS play_count, CASE WHEN live THEN 'in' ELSE 'post' END AS status,
+    CAST(CASE WHEN live AND n > 0 AND game_id <> min(CASE WHEN live THEN game_id END) OVER () THEN 1 ELSE 0 END AS BIGINT) AS stalled
+    FROM (SELECT game_id, user_id % 5 = 0 AS live, coalesce(n, 0) AS n FROM (SELECT DISTINCT game_id, user_id FROM d)
+      LEFT JOIN (SELECT game_id, count(*) AS n FROM {_found} GROUP BY game_id) USING (game_id))"""
+)
+SQL["stream_games"] = f"""WITH {_SCHEDULE},
+o AS (SELECT o.*, {_POINTS}, s.league, s.season, s.week, CASE WHEN s.league = 'nfl' THEN 'now' ELSE 'old' END AS detail
+  FROM orders o JOIN schedule s ON s.game_id = o_orderkey)
+SELECT league, season, 2 AS seasontype, week, {_GAME}, CAST(CASE WHEN league = 'nfl' THEN 1 ELSE 0 END AS BIGINT) AS batch_id
+FROM o WHERE key % 50 <> 49 AND key % 15 <> 7 AND (league <> 'nfl' OR key % 13 <> 0)"""
+SQL["stream_alert_store"] = """SELECT user_id AS game_id, 'INFO' AS severity, event_type AS type, 'on ' || strftime(ts, '%Y-%m-%d') AS message,
+user_id || ':' || event_type || ':on ' || strftime(ts, '%Y-%m-%d') AS alert_key, 1::BIGINT AS times FROM events GROUP BY ALL"""
