@@ -912,6 +912,47 @@ def play_viewer(spark, folder):
     return on_feed(spark, folder, run)
 
 
+def faulty_summaries(spark, folder) -> DataFrame:
+    """Summaries of which one user in seven lands cut off, and one in six (of the others) with numbers beyond all bounds."""
+    texts = summary_texts(spark, folder, 30_000)
+    user = user_of()
+    beyond = F.regexp_replace("document", '"awayScore":([0-9]*7)([,}])', '"awayScore":99999999999$2')
+    words = F.regexp_replace("document", '"scoreValue":5([,}])', '"scoreValue":"five"$1')
+    faulty = F.when(user % 7 == 3, F.substring("document", 1, 40)).when(user % 12 == 5, beyond).when(user % 12 == 11, words).otherwise(F.col("document"))
+    return documents.parse_column(texts.withColumn("document", faulty), "document", SUMMARY)
+
+
+def checked_summaries(spark, folder) -> pipeline.Quality:
+    canonical = canonical_teams(spark, ["Texas", "Texas Tech"])
+    return pipeline.check_documents(faulty_summaries(spark, folder), team_overrides(spark), canonical)
+
+
+@query
+def historical_failures(spark, folder):
+    """All alerts of a historical run in which some games cannot be read and some cannot be mapped."""
+    return checked_summaries(spark, folder).alerts
+
+
+@query
+def historical_failures_summary(spark, folder):
+    """The totals of that run: failed games are games."""
+    return checked_summaries(spark, folder).summary
+
+
+@query
+def published_results(spark, folder):
+    """Results after two runs over overlapping games: the second replaces its own games only, down to those left empty."""
+    path = f"{shared_dir(spark)}/playseq/results-{uuid.uuid4().hex}"
+    columns = ("game_id", "play_index", "down", "home_score", "qc_issue")
+    entries = written(pipeline_entries(spark, folder).select(*columns), "entries")
+    games = feed_games(spark, folder)
+    second = F.col("game_id") % 3 != 0
+    snapshots.publish_result(entries, games, path)
+    shorter = entries.where(second & (F.col("play_index") % 2 == 0) & (F.col("game_id") % 3 != 2))
+    snapshots.publish_result(shorter, games.where(second), path)
+    return snapshots.published_result(spark, path)[0]
+
+
 # -- streaming -----------------------------------------------------------------------------------
 
 

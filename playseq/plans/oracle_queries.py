@@ -402,9 +402,10 @@ on_feed(
 )
 
 
-def _checked(mode: str) -> With:
-    q = With()
-    entries = O.pipeline(q, O.feed(q))
+def _checked(mode: str, q: With | None = None, entries: str | None = None, games: str | None = None) -> With:
+    """``final_entries``, ``resolved`` and ``games``: of the feed, or of other entries."""
+    q = q or With()
+    entries = entries or O.pipeline(q, O.feed(q))
     # The checker looks at the same rows again.
     q.add("final_entries", f"SELECT game_id, ord, play_index, qc_issue, home_name, away_name, {ENTRY} FROM {entries}")
     second = With()
@@ -416,7 +417,7 @@ def _checked(mode: str) -> With:
             name = "c_" + inner if name == inner else name
         q.parts.append(f"{name} AS ({body}")
     O.resolved(q, "final_entries", mode)
-    q.add("games", _GAMES[1:-1])
+    q.add("games", games or _GAMES[1:-1])
     return q
 
 
@@ -427,6 +428,39 @@ SQL["historical_alerts"] = _checked("historical").select(
     UNION ALL SELECT game_id, 'OK', 'ok', 'No issues found — ' || count(*) || ' plays checked' FROM final_entries
     WHERE game_id NOT IN (SELECT game_id FROM resolved) GROUP BY game_id"""
 )
+on_feed(
+    "published_results",
+    """SELECT game_id, play_index, down, home_score, qc_issue FROM {src} WHERE game_id % 3 = 0 OR (game_id % 3 = 1 AND play_index % 2 = 0)""",
+    O.pipeline,
+)
+
+
+def _failing() -> With:
+    """Documents of which some are cut off, and some hold numbers that cannot be mapped."""
+    q = With()
+    _document_plays(q, 30_000)
+    q.add("cut", "SELECT DISTINCT game_id FROM d WHERE user_id % 7 = 3")
+    # Of a game's plays in the order of the document (its drives, then its last one again) the first with such a number.
+    q.add(
+        "wrong",
+        """SELECT game_id, arg_min(CASE WHEN user_id % 12 = 5 THEN 'awayScore is 99999999999' ELSE 'scoreValue is five' END, event_id) AS reason FROM d
+        WHERE k NOT IN (20, 30) AND game_id NOT IN (SELECT game_id FROM cut)
+          AND ((user_id % 12 = 5 AND (k % 40) % 10 = 7) OR (user_id % 12 = 11 AND k % 7 = 5)) GROUP BY game_id""",
+    )
+    sound = f"SELECT * EXCLUDE (drive_group, null_defaulted), {_names} FROM doc_plays WHERE game_id NOT IN (SELECT game_id FROM cut UNION ALL SELECT game_id FROM wrong)"
+    entries = O.pipeline(q, q.add("doc_feed", sound))
+    return _checked("historical", q, entries, "SELECT DISTINCT game_id FROM d")
+
+
+SQL["historical_failures_summary"] = O.summary(_failing(), "games", "final_entries")
+SQL["historical_failures"] = _failing().select(
+    """SELECT game_id, severity, type, message FROM resolved
+    QUALIFY row_number() OVER (PARTITION BY game_id, type, message ORDER BY play_index, check_no) = 1
+    UNION ALL SELECT g.game_id, 'OK', 'ok', 'No issues found — ' || count(f.game_id) || ' plays checked' FROM games g LEFT JOIN final_entries f USING (game_id)
+    WHERE g.game_id NOT IN (SELECT game_id FROM resolved UNION ALL SELECT game_id FROM cut UNION ALL SELECT game_id FROM wrong) GROUP BY g.game_id
+    UNION ALL SELECT game_id, 'ERROR', 'fetch_failed', 'Failed to fetch plays: unreadable document' FROM cut
+    UNION ALL SELECT game_id, 'ERROR', 'fetch_failed', 'Failed to fetch plays: ' || reason FROM wrong"""
+)
 _live = _checked("live")
 _live.parts += [_DAILY.removeprefix("WITH ")]
 SQL["live_alerts"] = _live.select(

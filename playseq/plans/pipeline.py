@@ -21,6 +21,9 @@ HEADER_COLUMNS = ("status", "home_team_id", "home_team", "home_abbrev", "away_te
 CONTEXT_COLUMNS = ("home_name", "away_name")
 
 
+UNREADABLE = "unreadable document"
+
+
 class Quality(NamedTuple):
     """Result of a quality run."""
 
@@ -104,7 +107,8 @@ def check_games(
 
     ``games`` has ``game_id``; ``entries`` come from the pipeline. Entries and issues have several
     readers, so both are written once instead of being computed for each. ``failed`` holds the ids of games
-    that could not be read: they count as games, raise an error each, and are never clean.
+    that could not be read or mapped, and perhaps a ``reason``: they count as games, raise an error each, and are
+    never clean.
     """
     entries = written(entries, "entries")
     issues = GAME.over(entries, lambda df, seq: checks.check_entries(df, seq))
@@ -115,15 +119,31 @@ def check_games(
     listed = fresh.select(*columns)
     read = games
     if failed is not None:
-        failed = written(failed.select("game_id").distinct(), "failed")
+        reason = F.min("reason") if "reason" in failed.columns else F.lit(UNREADABLE)
+        failed = written(failed.groupBy("game_id").agg(reason.alias("reason")), "failed")
         read = filter_by_keys(games, failed, ["game_id"], keep=False)
-        games = games.select("game_id").union(failed).distinct()
-        listed = listed.unionByName(alerts.failure_alerts(failed, F.lit("unreadable document")).select(*columns))
+        games = games.select("game_id").union(failed.select("game_id")).distinct()
+        listed = listed.unionByName(alerts.failure_alerts(failed, F.col("reason")).select(*columns))
     if mode == "historical":
         listed = listed.unionByName(alerts.clean_game_alerts(read, issues, counts).select(*columns))
     return Quality(issues, listed, summary.summarise(games, counts, issues))
 
 
+def check_documents(docs: DataFrame, overrides: DataFrame, canonical: DataFrame) -> Quality:
+    """A historical quality run over summary documents, the newest one of each game, whatever is wrong with some.
+
+    A game whose newest document cannot be read, or holds numbers that cannot be mapped, becomes an error alert with the
+    reason and counts as a game; all others are mapped and checked as if it were not there.
+    """
+    docs = written(documents.newest(docs, "game_id"), "documents")
+    broken = documents.unreadable(docs).select("game_id", F.lit(UNREADABLE).alias("reason"))
+    readable = documents.readable(docs)
+    failed = written(broken.unionByName(documents.unmappable(readable)), "failed")
+    sound = filter_by_keys(readable, failed, ["game_id"], keep=False)
+    entries, headers = process_summaries(sound, overrides, canonical)
+    return check_games(headers, entries, failed=failed)
+
+
 def monitor_live(
     games: DataFrame, watchlist: DataFrame, entries: DataFrame, counts: DataFrame, seen: DataFrame | None = None
 ) -> DataFrame:
