@@ -41,7 +41,7 @@ BAND = 1.2
 SAMPLE, SAMPLE_CHARS = 2000, 50_000
 #: Ids that may be sent to every task: 8 bytes each.
 SMALL = 1_000_000
-#: 64-bit words of the parity sketch, and of the finer one that what passes it has to pass.
+#: 64-bit words of the parity sketch, and least ones of the finer one that what passes it has to pass.
 SKETCH, FINE = 8, 32
 #: Bytes hashed, and rows answered, at a time.
 CHUNK, ROWS = 1_000_000, 500
@@ -263,14 +263,18 @@ def allot(sets: Sequence[np.ndarray], band: int, need: int, segments: int, scale
 
 
 def sketch(elements: np.ndarray) -> np.ndarray:
-    """Parity of the number of elements in each of 64 x FINE cells: differing bits are at most differing elements."""
-    odd = np.bincount((elements & _U(64 * FINE - 1)).astype(np.int64), minlength=64 * FINE) & 1
+    """Parity of the number of elements in each of a power of two of cells, 64 x FINE and the number of elements at least.
+
+    Differing bits are at most differing elements, and stay so when cells are added up (``folded``).
+    """
+    cells = max(64 * FINE, 1 << max(0, len(elements) - 1).bit_length())
+    odd = np.bincount((elements & _U(cells - 1)).astype(np.int64), minlength=cells) & 1
     return np.packbits(odd.astype(bool))
 
 
-def folded(sketch: bytes) -> np.ndarray:
-    """The same with 64 x SKETCH cells, as longs."""
-    return np.bitwise_xor.reduce(np.frombuffer(sketch, np.int64).reshape(-1, SKETCH))
+def folded(sketch: bytes, size: int = SKETCH) -> np.ndarray:
+    """The same with 64 x ``size`` cells, as longs."""
+    return np.bitwise_xor.reduce(np.frombuffer(sketch, np.int64).reshape(-1, size))
 
 
 def _fingerprint(elements: np.ndarray) -> tuple[int, int]:
@@ -408,9 +412,12 @@ def _finely_allowed(pairs: DataFrame, vertices: DataFrame, percent: int) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            left, right = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(-1, FINE) for c in (3, 5))
             total = batch.column(2).to_numpy() + batch.column(4).to_numpy()
-            fit = np.bitwise_count(left ^ right).sum(axis=1, dtype=np.int64) * (100 + percent) <= total * (100 - percent)
+            differ = np.zeros(len(total), np.int64)
+            for i, (left, right) in enumerate(zip(batch.column(3).to_pylist(), batch.column(5).to_pylist())):
+                size = min(len(left), len(right)) // 8
+                differ[i] = np.bitwise_count((folded(left, size) ^ folded(right, size)).view(np.uint64)).sum()
+            fit = differ * (100 + percent) <= total * (100 - percent)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(fit))
 
     sides = [vertices.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("fine").alias(f"fine{x}")) for x in ("a", "b")]
@@ -428,18 +435,31 @@ def _verified(pairs: DataFrame, classes: DataFrame, documents: DataFrame, words:
     wanted = written(_only(classes, ids, "id").select("id", "doc_id", "f", "g", "n"), "wanted")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        given: set[tuple] = set()
         for batch in _slices(batches):
             made = shingle_sets(batch.column(1).cast(pa.binary()).to_pylist(), words)
             prints = [_fingerprint(s) for s in made]
-            yield pa.RecordBatch.from_arrays(
+            rows = pa.RecordBatch.from_arrays(
                 [batch.column(0), *(pa.array([p[i] for p in prints], pa.int64()) for i in (0, 1)), pa.array([len(s) for s in made], pa.int64()), pa.array([s.tobytes() for s in made], pa.binary())],
                 names=["doc_id", "f", "g", "n", "elements"],
             )
+            # A task gives a set once, however often its row is repeated.
+            fresh = []
+            for name in zip(batch.column(0).to_pylist(), prints):
+                fresh.append(name not in given)
+                given.add(name)
+            yield rows.filter(pa.array(fresh, pa.bool_()))
 
     texts = _only(documents.where("doc_id is not null and text is not null").select("doc_id", "text"), wanted.select("doc_id").distinct(), "doc_id")
     made = texts.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(documents.dtypes)['doc_id']}, f long, g long, n long, elements binary")
-    # Rows that repeat an id with one text give one set.
-    sets = written(made.join(wanted, ["doc_id", "f", "g", "n"]).groupBy("id").agg(F.any_value("elements").alias("elements")), "sets")
+    # Five columns for each wanted class, so fewer of them are sent to every task.
+    known = F.broadcast(wanted) if wanted.count() <= SMALL // 5 else wanted
+    sets = written(made.join(known, ["doc_id", "f", "g", "n"]).select("id", F.monotonically_increasing_id().alias("row"), "elements"), "sets")
+    # Rows that repeat an id with one text give one set for each task that reads some of them; one is taken.
+    repeated = written(sets.groupBy("id").agg(F.min("row").alias("row"), F.count("*").alias("n")).where("n > 1").select("id", "row"), "repeated")
+    if not repeated.isEmpty():
+        once = sets.join(repeated.select("id"), "id", "left_anti").select("id", "elements")
+        sets = once.union(sets.join(repeated, ["id", "row"], "left_semi").select("id", "elements"))
 
     groups = pairs.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).cast("int").alias("groups"))
     dealt = pairs.join(groups, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("groups")).cast("int").alias("part"))

@@ -210,3 +210,15 @@ def test_one_id_with_many_texts_is_one_vertex(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
     got = {r.doc_id: r.component_id for r in ngram_join.near_duplicates(df).collect()}
     assert got == {9: 3, 3: 3, 20: 3, 4000: 4000}
+
+
+def test_sketches_bound_the_difference_from_below():
+    rng = np.random.default_rng(1)
+    for n in (1, 50, 476, 2040, 2050, 9000):
+        for drop in (0, 5, n // 10, n // 2):
+            base = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
+            other = np.unique(np.concatenate([base[drop:], rng.integers(0, 2**63, drop // 2, dtype=np.uint64)]))
+            left, right = (ngram_join.sketch(x).tobytes() for x in (base, other))
+            for size in (ngram_join.SKETCH, min(len(left), len(right)) // 8):
+                differ = (ngram_join.folded(left, size) ^ ngram_join.folded(right, size)).view(np.uint64)
+                assert np.bitwise_count(differ).sum() <= len(np.setxor1d(base, other))
