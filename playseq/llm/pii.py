@@ -90,6 +90,14 @@ def _placed(value: Column, digits: Column) -> Column:
     return F.array_join(F.transform(F.split(value, ""), lambda c, i: F.when(c.between("0", "9"), F.substring(digits, nth(i), F.lit(1))).otherwise(c)), "")
 
 
+def _ssns(digits: Column, key: str) -> Column:
+    """Another valid number: areas 001 to 899 but 666, groups 01 to 99 and serials 0001 to 9999 are permuted as one set."""
+    area, group, serial = (F.substring(digits, at, n).cast("long") for at, n in ((1, 3), (4, 2), (6, 4)))
+    made = permute(area - 1 - F.when(area > 666, 1).otherwise(0), (group - 1) * 9999 + serial - 1, F.lit(898), F.lit(99 * 9999), F.lit("ssn"), key)
+    parts = (made["l"] + 1 + F.when(made["l"] + 1 >= 666, 1).otherwise(0), 3), (F.floor(made["r"] / 9999) + 1, 2), (made["r"] % 9999 + 1, 4)
+    return F.concat(*[F.lpad(n.cast("long").cast("string"), size, "0") for n, size in parts])
+
+
 def luhn_sum(digits: Column) -> Column:
     """Weighted digit sum of a card number without or with its check digit; the last digit counts once."""
     doubled = lambda c, i: F.when(i % 2 == 1, c.cast("int") * 2 - F.when(c.cast("int") > 4, 9).otherwise(0)).otherwise(c.cast("int"))
@@ -202,7 +210,7 @@ def pseudonym(value: Column, kind: Column, key: str) -> Column:
     return (
         F.when(kind == "card", _placed(value, F.concat(body, check)))
         .when(kind == "phone", _placed(value, F.concat(code, permute_digits(national, "phone", key))))
-        .when(kind == "ssn", _placed(value, permute_digits(digits, "ssn", key)))
+        .when(kind == "ssn", _placed(value, _ssns(digits, key)))
         .when(kind == "ip", ip)
         .when(kind == "date", _dates(value, key))
         .when(kind == "iban", iban)
