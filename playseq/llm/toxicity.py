@@ -105,14 +105,20 @@ class Lexicon:
                 spared.append((start, end))
             elif weight > found.get(start, 0.0):
                 found[start] = weight
-        for a, b in spared:
-            for at in [s for s in found if a <= s < b]:
+        # Matches come by their ends; exception phrases by their starts, and words within the farthest end so far, go in one pass.
+        spared.sort()
+        nth, end = 0, -1
+        for at in sorted(found) if spared else ():
+            while nth < len(spared) and spared[nth][0] <= at:
+                end = max(end, spared[nth][1])
+                nth += 1
+            if at < end:
                 del found[at]
         return found
 
     def features(self, folded: str) -> list[float]:
         # A word that is repeated counts once.
-        found = {folded[start : start + 8]: weight for start, weight in self.hits(folded).items()}
+        found = {folded[start : folded.find(" ", start + 1)]: weight for start, weight in self.hits(folded).items()}
         total = sum(found.values())
         words = folded.count(" ") - 1
         return [1.0, float(np.log1p(total)), float(np.log1p(1000 * total / max(words, 20))), float(np.log1p(len(found)))]
