@@ -15,7 +15,7 @@ KEY = "query-key"
 
 
 def op1_warc(spark: SparkSession, folder: str) -> DataFrame:
-    return warc.archived(table(spark, folder, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return warc.archived(table(spark, folder, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "record_bytes", "record_sha256")
 
 
 def op2_secrets(spark: SparkSession, folder: str) -> DataFrame:
@@ -116,14 +116,24 @@ SQL: dict[str, str] = {}
 
 SQL["op1_warc"] = """
 WITH p AS (
-  SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
+  SELECT page_id, url, coalesce(html, '') AS html, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
 ), f AS (
   SELECT payload_digest, min(page_id) AS first FROM p WHERE payload_bytes >= 100 GROUP BY ALL
+), r AS (
+  SELECT *, CASE WHEN first IS NULL OR page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+    CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to FROM p LEFT JOIN f USING (payload_digest)
+), h AS (
+  SELECT *, 'HTTP/1.1 200 OK|Content-Type: text/html; charset=utf-8|Content-Length: ' || payload_bytes || '||' AS http FROM r
+), w AS (
+  SELECT *, 'WARC/1.1|WARC-Type: ' || record_type || '|WARC-Record-ID: <urn:page:' || coalesce(page_id::VARCHAR, 'none') || '>|WARC-Date: 2020-01-01T00:00:00Z|'
+    || coalesce('WARC-Target-URI: ' || url || '|', '') || 'WARC-Payload-Digest: sha256:' || payload_digest || '|'
+    || CASE WHEN record_type = 'revisit' THEN 'WARC-Refers-To: <urn:page:' || refers_to || '>|WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest|' ELSE '' END
+    || 'Content-Type: application/http; msgtype=response|Content-Length: '
+    || (length(replace(http, '|', '..')) + CASE WHEN record_type = 'revisit' THEN 0 ELSE payload_bytes END) || '||' || http AS header FROM h
+), b AS (
+  SELECT *, replace(header, '|', chr(13) || chr(10)) || CASE WHEN record_type = 'response' THEN html ELSE '' END || chr(13) || chr(10) || chr(13) || chr(10) AS record FROM w
 )
-SELECT page_id, payload_bytes, payload_digest,
-       CASE WHEN first IS NULL OR page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
-       CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to
-FROM p LEFT JOIN f USING (payload_digest)
+SELECT page_id, payload_bytes, payload_digest, record_type, refers_to, strlen(record)::BIGINT AS record_bytes, sha256(record) AS record_sha256 FROM b
 """
 
 SQL["op3_near_vectors"] = """

@@ -84,6 +84,23 @@ def record_bytes(archive: DataFrame) -> DataFrame:
     return archive.select("page_id", F.concat(F.col("header").cast("binary"), body, F.lit((CRLF * 2).encode())).alias("record"))
 
 
+def restored(archive: DataFrame) -> DataFrame:
+    """The archive's records rebuilt, and what they say of themselves: ``archive`` with ``record_bytes`` (length) and
+    ``record_sha256`` of the exact record, and record_type and refers_to as its header has them."""
+    body = F.when(F.col("record_type") == "response", F.col("payload")).otherwise(F.lit(b""))
+    whole = archive.withColumn("_record", F.concat(F.col("header").cast("binary"), body, F.lit((CRLF * 2).encode())))
+    line = lambda name: F.regexp_extract("header", rf"(?m)^{name}: (.*)$", 1)
+    referred = F.regexp_extract(line("WARC-Refers-To"), "^<urn:page:(.*)>$", 1)
+    return whole.withColumns(
+        {
+            "record_bytes": F.octet_length("_record").cast("long"),
+            "record_sha256": F.sha2("_record", 256),
+            "record_type": line("WARC-Type"),
+            "refers_to": F.when(F.contains("header", F.lit("WARC-Refers-To: ")), referred).cast(dict(archive.dtypes)["refers_to"]),
+        }
+    ).drop("_record")
+
+
 def export_warc(archive: DataFrame, folder: str, per_file: int = 10_000) -> None:
     """Write the records as gzip text files, which any WARC reader takes."""
     body = F.when(F.col("record_type") == "response", F.col("payload").cast("string")).otherwise("")
@@ -114,9 +131,9 @@ def import_warc(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def archived(pages: DataFrame) -> DataFrame:
-    """Archive ``pages`` in the shared folder, read the archive back, and return the verified records."""
+    """Archive ``pages`` in the shared folder, read the archive back, and return the verified and restored records."""
     from uuid import uuid4
 
     folder = f"{shared_dir(pages.sparkSession)}/playseq/archive-{uuid4().hex}"
     write_archive(pages, folder)
-    return read_archive(pages.sparkSession, folder)
+    return restored(read_archive(pages.sparkSession, folder))
