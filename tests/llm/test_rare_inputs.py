@@ -222,3 +222,58 @@ def test_sketches_bound_the_difference_from_below():
             for size in (ngram_join.SKETCH, min(len(left), len(right)) // 8):
                 differ = (ngram_join.folded(left, size) ^ ngram_join.folded(right, size)).view(np.uint64)
                 assert np.bitwise_count(differ).sum() <= len(np.setxor1d(base, other))
+
+
+def test_pseudonyms_of_social_security_numbers_are_valid_and_one_to_one(spark):
+    rng = np.random.default_rng(2)
+    values = {f"{a:03d}-{g:02d}-{n:04d}" for a, g, n in zip(rng.integers(1, 900, 3000), rng.integers(1, 100, 3000), rng.integers(1, 10000, 3000)) if a != 666}
+    values |= {"001-01-0001", "899-99-9999", "665-50-5000", "667-50-5000"}
+    df = spark.createDataFrame([(v,) for v in sorted(values)], "v string")
+    rows = df.select("v", pii.kind_of(F.col("v")).alias("k")).select("v", "k", pii.pseudonym(F.col("v"), F.col("k"), "key").alias("p")).select("*", pii.kind_of(F.col("p")).alias("again")).collect()
+    assert {r.k for r in rows} == {"ssn"} == {r.again for r in rows}
+    assert len({r.p for r in rows}) == len(values) and sum(r.v == r.p for r in rows) < 5
+    noise = {}
+
+    def drawn(i, right):
+        if (i, right) not in noise:
+            noise[i, right] = spark.range(1).select(pii._random("key", F.lit("ssn"), F.lit(i), F.lit(right).cast("long"))).first()[0]
+        return noise[i, right]
+
+    for r in rows[:3]:
+        area, group, serial = (int(x) for x in r.v.split("-"))
+        left, right = area - 1 - (area > 666), (group - 1) * 9999 + serial - 1
+        for i in range(pii.ROUNDS):
+            left, right = right, (left + drawn(i, right)) % (898 if i % 2 == 0 else 99 * 9999)
+        area = left + 1 + (left + 1 >= 666)
+        assert r.p == f"{area:03d}-{right // 9999 + 1:02d}-{right % 9999 + 1:04d}"
+
+
+def plain_hits(lexicon, folded):
+    found = {}
+    for start in range(len(folded)):
+        best = max((w for p, w in lexicon.weights.items() if folded.startswith(p, start)), default=None)
+        if best is not None:
+            found[start] = best
+    for phrase in lexicon.exceptions:
+        for start in range(len(folded)):
+            if folded.startswith(f" {phrase} ", start):
+                for at in [s for s in found if start <= s < start + len(phrase) + 1]:
+                    del found[at]
+    return found
+
+
+def test_hits_equal_a_plain_version_and_are_linear():
+    rng = np.random.default_rng(3)
+    words = ["scum", "pond", "scummy", "idiot", "the", "a", "iow", "iower"]
+    lexicon = toxicity.Lexicon({" scum ": 5.0, " scum": 2.0, " idiot ": 3.0, " iow": 1.0, " a ": 0.5}, ["pond scum", "scum pond scum", "the idiot", "a a"])
+    for _ in range(200):
+        folded = f" {' '.join(rng.choice(words, rng.integers(0, 12)))} "
+        assert lexicon.hits(folded) == plain_hits(lexicon, folded), folded
+    took = []
+    for n in (10_000, 160_000):
+        folded = f" {' '.join(['pond scum idiot'] * (n // 3))} "
+        lexicon.hits(" a ")
+        start = time.perf_counter()
+        assert len(lexicon.hits(folded)) == n // 3
+        took.append(time.perf_counter() - start)
+    assert took[1] < 60 * took[0] + 0.1
