@@ -20,10 +20,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from playseq.llm import html_examples
 from playseq.llm.common import map_text
 
 #: Most pages, and most characters of one of them, that potentials are counted on.
 PAGES, PAGE_CHARS = 400, 200_000
+#: With fewer labelled pages among those drawn, the package's own examples are counted too.
+LEAST_PAGES = 20
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
@@ -103,10 +106,13 @@ def parse(page: str) -> list[Node]:
             nodes.append(leaf)
         linked = 0
 
+    opened: Counter[str] = Counter()  # open elements by tag
+
     def pop_to(depth: int) -> None:
         nonlocal in_link, dropped
         while len(stack) > depth:
             tag = stack.pop()[0]
+            opened[tag] -= 1
             in_link -= tag == "a"
             dropped -= tag in DROPPED
 
@@ -129,8 +135,10 @@ def parse(page: str) -> list[Node]:
         closing, opening, attributes = match.group(1), match.group(2) or match.group(5), match.group(3) or match.group(6) or ""
         if closing:
             tag = closing.lower()
-            if tag in ("br", "p") and not any(t == tag for t, _ in stack):
-                flush()
+            if not opened[tag]:
+                # An end tag without a start; only these two mean something.
+                if tag in ("br", "p"):
+                    flush()
                 continue
             for depth in range(len(stack) - 1, 0, -1):
                 if stack[depth][0] == tag:
@@ -152,6 +160,7 @@ def parse(page: str) -> list[Node]:
         if tag in INLINE:
             if tag not in VOID and not attributes.endswith("/"):
                 stack.append((tag, stack[-1][1]))
+                opened[tag] += 1
                 in_link += tag == "a"
             continue
         flush()
@@ -173,6 +182,7 @@ def parse(page: str) -> list[Node]:
         node.features = [f"kind={_KIND.get(tag, 'other')}", *(f"word={w}" for w in set(names)), f"words={next((_WORD[w] for w in names if _WORD.get(w) == 'frame'), next((_WORD[w] for w in names if w in _WORD), 'none'))}"]
         nodes.append(node)
         stack.append((tag, len(nodes) - 1))
+        opened[tag] += 1
         dropped += tag in DROPPED
         if tag in RAW:
             stop = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(page, at)
@@ -259,15 +269,29 @@ def count(pages: Sequence[Sequence[Node]], labels: Sequence[Sequence[int]]) -> P
 
 
 def fit(pages: DataFrame, labels: Callable[[Sequence[Node]], list[int] | None] = semantic_labels, most: int = PAGES) -> Potentials:
-    """Count potentials on at most ``most`` pages (those with the smallest hash) that ``labels`` can label."""
+    """Count potentials on at most ``most`` pages (those with the smallest hash) that ``labels`` can label.
+
+    If that leaves fewer than LEAST_PAGES, as in tables whose pages mark no article up, on ``examples`` as well.
+    """
     size = pages.where(F.col("html").isNotNull()).count()
     few = pages.where((F.length("html") <= PAGE_CHARS) & (F.pmod(F.xxhash64("html"), F.lit(1_000_000)) < min(1_000_000, 3_000_000 * most // max(1, size))))
     drawn = few.select(F.xxhash64("html").alias("h"), "html").orderBy("h").limit(most).collect()
     parsed = [p for p in (parse(r["html"]) for r in drawn)]
     known = [(p, own) for p, own in ((p, labels(p)) for p in parsed) if own is not None]
+    if len(known) < LEAST_PAGES:
+        known += examples()
     return count([p for p, _ in known], [own for _, own in known])
 
 
+def examples() -> list[tuple[list[Node], list[int]]]:
+    """The package's own labelled pages: the labels of a page hold for its variants."""
+    out = []
+    for marked, others in html_examples.labelled():
+        own = semantic_labels(parse(marked))
+        out += [(parse(other), own) for other in others]
+    return out
+
+
 def extract(pages: DataFrame, potentials: Potentials, keep: Sequence[str] = ("page_id", "url")) -> DataFrame:
     """Add ``text`` and ``n_chars`` to the columns ``keep``; kept columns with these names are replaced.
 

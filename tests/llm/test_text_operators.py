@@ -1,5 +1,6 @@
 """Language, toxicity, decontamination, secrets and pseudonyms, against plain versions and on held-out rows."""
 
+import time
 import random
 import re
 
@@ -7,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from playseq.llm import decontaminate, langid, pii, secret_scan, toxicity
+from playseq.llm import decontaminate, html, langid, pii, secret_scan, toxicity
 from playseq.llm.common import table
 from tests.conftest import SF, collected
 
@@ -157,3 +158,32 @@ def test_held_out_fold_is_not_learned_from(spark):
     model = langid.fit(docs)
     changed = docs.withColumn("lang", F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, "en").otherwise(F.col("lang")))
     assert np.array_equal(model.filters, langid.fit(changed).filters)
+
+
+def _same_text(spark, change):
+    """Share of all small pages that give the same text as before ``change``."""
+    pages = table(spark, SF, "pages")
+    want = {r.page_id: r.text for r in html.main_text(pages).collect()}
+    rows = [(r.page_id, r.url, change(r.html) if r.html else r.html) for r in pages.collect()]
+    got = {r.page_id: r.text for r in html.main_text(spark.createDataFrame(rows, pages.schema)).collect()}
+    return sum(got[i] == t for i, t in want.items()) / len(want)
+
+
+def test_pages_that_mark_nothing_up_have_texts(spark):
+    assert _same_text(spark, lambda h: re.sub(r"<(/?)(?:article|main)\b", r"<\1div", h)) >= 0.9
+
+
+def test_pages_without_class_names_have_texts(spark):
+    assert _same_text(spark, lambda h: re.sub(r"\s(?:class|id|role)=(?:\"[^\"]*\"|'[^']*'|[^\s>]+)", "", h)) >= 0.9
+
+
+def test_variants_of_the_examples_keep_their_nodes():
+    for nodes, labels in html.examples():
+        assert len(nodes) == len(labels) and 0 < sum(labels) < len(labels)
+
+
+def test_stray_end_tags_and_deep_nesting_parse_in_linear_time():
+    start = time.perf_counter()
+    for page in ("<div>" * 100_000 + "x" + "</span>" * 100_000, "<div><b>" * 50_000 + "x" + "</i></p>" * 50_000):
+        assert [n.text for n in html.parse(page) if n.text] == ["x"]
+    assert time.perf_counter() - start < 20
