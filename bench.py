@@ -39,8 +39,6 @@ def main() -> None:
             spark__ui__enabled="false",
             spark__ui__showConsoleProgress="false",
             spark__driver__memory="16g",
-            # Small data on one machine: keep all cores busy instead of merging partitions.
-            spark__sql__adaptive__coalescePartitions__enabled="false",
         )
         .master(f"local[{cpus}]")
         .getOrCreate()

@@ -6,12 +6,18 @@ correlated lookups where those use windows.
 
 from __future__ import annotations
 
-from playseq.functions.clock import PLAY_SECONDS
-from playseq.operators.checks import AUTO_FIXED
-from playseq.sources.event_feed import TEAMS, TIMEOUT_TEXTS
-
 NL = ",\n"
 
+# Fixed values, written out again: a wrong one in the operators is to show here.
+SECONDS = """
+rush 7, pass reception 8, pass incompletion 5, passing touchdown 8, rushing touchdown 7, punt 10, field goal good 5, field goal missed 5,
+blocked field goal 5, blocked punt 5, sack 7, penalty 6, fumble recovery 7, interception 7, pass interception return 7, kickoff 5,
+kickoff return 5, timeout 0
+"""
+NOTES = {"live": "  [auto-fixed by pipeline — no red row]", "historical": "  [auto-fixed — no red row]"}
+FEED_TEAMS = {"home_team_id": "H", "away_team_id": "A", "home_name": "Hawks", "away_name": "Wolves", "home_abbrev": "HWK", "away_abbrev": "WLV"}
+CALLS = ("timeout HWK", "timeout WLV", "timeout Hawks", "timeout Wolves", "timeout home side", "timeout visitor", "timeout")
+
 
 class With:
     """Collects common table expressions."""
@@ -49,7 +55,8 @@ def has(column: str, *needles: str) -> str:
 
 
 def duration(kind: str) -> str:
-    cases = " ".join(f"WHEN contains(lower({kind}), {text(k)}) THEN {s}" for k, s in PLAY_SECONDS)
+    rules = (rule.strip().rsplit(" ", 1) for rule in SECONDS.replace("\n", " ").split(","))
+    cases = " ".join(f"WHEN contains(lower({kind}), {text(k)}) THEN {s}" for k, s in rules)
     return f"CAST(CASE {cases} ELSE 6 END AS INTEGER)"
 
 
@@ -99,7 +106,7 @@ def base(q: With) -> str:
         """SELECT game_id, n, sum(CASE WHEN is_home THEN pts ELSE 0 END) AS h, sum(CASE WHEN is_home THEN 0 ELSE pts END) AS a
         FROM credits GROUP BY game_id, n""",
     )
-    names = ", ".join(f"{text(v)} AS {c}" for c, v in TEAMS.items())
+    names = ", ".join(f"{text(v)} AS {c}" for c, v in FEED_TEAMS.items())
     return q.add(
         "base",
         f"""SELECT e.*, n AS ord, {clock('secs')} AS clock, CAST(v % 25 - 5 AS INTEGER) AS gain,
@@ -124,7 +131,7 @@ def feed(q: With) -> str:
         ELSE (CASE WHEN k < 10 THEN 'End Period' WHEN k < 40 THEN 'Penalty' WHEN k < 60 THEN 'Fumble Recovery (Own)'
                    ELSE 'Rush' END) END AS play_type_text FROM base""",
     )
-    calls = " ".join(f"WHEN {i} THEN {text(t)}" for i, t in enumerate(TIMEOUT_TEXTS))
+    calls = " ".join(f"WHEN {i} THEN {text(t)}" for i, t in enumerate(CALLS))
     return q.add(
         "feed",
         f"""SELECT game_id, ord, CAST(event_id AS VARCHAR) AS play_id, ord AS sequence_number, period, clock, play_type_text,
@@ -137,7 +144,7 @@ def feed(q: With) -> str:
         CAST(CASE WHEN k % 9 = 0 THEN NULL ELSE 1 + (k + n) % 4 END AS INTEGER) AS end_down,
         CASE WHEN play_type_text LIKE '%Touchdown' AND k % 5 = 0 THEN 'Extra Point Good' END AS pat_text,
         CASE WHEN play_type_text LIKE '%Touchdown' AND k % 5 = 0 THEN 1 END AS pat_value,
-        strftime(ts, '%Y-%m-%dT%H:%M:%S') AS wallclock, {', '.join(TEAMS)} FROM typed""",
+        strftime(ts, '%Y-%m-%dT%H:%M:%S') AS wallclock, {', '.join(FEED_TEAMS)} FROM typed""",
     )
 
 
@@ -470,7 +477,7 @@ def resolved(q: With, qc: str, mode: str) -> str:
         "resolved",
         f"""SELECT i.game_id, type, i.play_index, check_no, qc_issue AS entry_qc, {fixed} AS auto_fixed, severity AS original_severity,
         CASE WHEN {fixed} THEN 'INFO' ELSE severity END AS severity,
-        CASE WHEN {fixed} THEN message || {text(AUTO_FIXED[mode])} ELSE message END AS message
+        CASE WHEN {fixed} THEN message || {text(NOTES[mode])} ELSE message END AS message
         FROM issues i LEFT JOIN {qc} e ON e.game_id = i.game_id AND e.play_index = i.play_index""",
     )
 
