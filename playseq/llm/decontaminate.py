@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from playseq.llm.common import map_text
+from playseq.llm.common import map_text, release_memory
 from playseq.operators.storage import written
 
 #: Consecutive item words that make a window.
@@ -122,6 +122,7 @@ def _scan_block(documents: DataFrame, keep: Sequence[str], items: list[tuple[str
     carried = ["_words", "items"] if earlier else []
 
     def make():
+        release_memory()
         automaton = Automaton(shared.value, size)
 
         def work(texts):

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from playseq.llm.common import brief_shuffles
+from playseq.llm.common import brief_shuffles, release_memory, small_batches
 from playseq.llm.components import components
 from playseq.llm.packing import ANSWERS, LOW, answered, answers, by_range, firsts, packed, range_keys, seen_again, spread
 from playseq.operators.storage import written
@@ -46,7 +46,7 @@ SKETCH, FINE = 8, 32
 #: Bytes hashed, and rows answered, at a time.
 CHUNK, ROWS = 1_000_000, 500
 #: Index keys of a batch (of one document at least), and of a range in which keys are probed.
-BATCH_KEYS, RANGE_KEYS = 1_000_000, 2_500_000
+BATCH_KEYS, RANGE_KEYS = 500_000, 2_000_000
 #: Partners of a hub that are verified in one task.
 PARTNERS = 200
 
@@ -352,6 +352,7 @@ def _indexed(shared, words: int, ranges: int, kind: pa.DataType):
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()
         known, part, number = shared.value, TaskContext.get().partitionId(), 0
         ids, rows, keys, held = [], [], [], 0
 
@@ -369,6 +370,8 @@ def _indexed(shared, words: int, ranges: int, kind: pa.DataType):
                 held += len(keys[-1])
         if rows:
             yield from batch()
+        ids, rows, keys = [], [], []
+        release_memory()
 
     return run
 
@@ -402,7 +405,9 @@ def _alive(ranges: int):
         fine = [rows.column("sketch")[o[2]].as_py() for o in out]
         values = [[o[0] for o in out], [o[1] for o in out], [folded(s) for s in fine], fine, [o[3] for o in out]]
         types = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.int64())]
-        return pa.table([pa.array(v, t) for v, t in zip(values, types)], names=["id", "n", "sketch", "fine", "keys"])
+        made = pa.table([pa.array(v, t) for v, t in zip(values, types)], names=["id", "n", "sketch", "fine", "keys"])
+        release_memory()
+        return made
 
     return run
 
@@ -449,6 +454,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, documents: DataFrame, words:
                 fresh.append(name not in given)
                 given.add(name)
             yield rows.filter(pa.array(fresh, pa.bool_()))
+        release_memory()
 
     texts = _only(documents.where("doc_id is not null and text is not null").select("doc_id", "text"), wanted.select("doc_id").distinct(), "doc_id")
     made = texts.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(documents.dtypes)['doc_id']}, f long, g long, n long, elements binary")
@@ -491,7 +497,7 @@ def near_duplicates(documents: DataFrame, *, words: int = WORDS, percent: int =
     doc_id links with nothing and has a null component. Rows that repeat a doc_id are one vertex. Other columns are not
     read. Shingles are compared by 64-bit hashes (a wrong match within a pair has a chance below 1e-10).
     """
-    with brief_shuffles(documents.sparkSession):
+    with brief_shuffles(documents.sparkSession), small_batches(documents.sparkSession):
         return _near_duplicates(documents, words, percent)
 
 
