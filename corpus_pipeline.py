@@ -6,13 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from playseq.llm import decontaminate, langid, mixing, ngram_join, secret_scan
-from playseq.llm.common import table
+from playseq.llm.common import ARROW_ROWS, table
 from playseq.operators.storage import written
 
 #: Least score of a language; with four languages, chance is a quarter.
 LEAST_SCORE = 0.35
 #: Words of a shingle, and the percentage of common shingles from which documents are near duplicates.
 NEAR_WORDS, NEAR_PERCENT = 5, 80
+#: Rows that go to a Python worker at a time. Stages follow each other on the same executors, which keep what they have taken.
+ROWS_AT_A_TIME = 1000
 
 
 def _packed(docs: DataFrame) -> DataFrame:
@@ -22,6 +24,7 @@ def _packed(docs: DataFrame) -> DataFrame:
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without letters, or of no known language, go."""
+    spark.conf.set(ARROW_ROWS, str(ROWS_AT_A_TIME))
     known = langid.predict(_packed(docs), langid.fit(docs), ["_row"])
     return known.where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= LEAST_SCORE)).select("_row.*")
 
@@ -42,6 +45,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go."""
+    spark.conf.set(ARROW_ROWS, str(ROWS_AT_A_TIME))
     found = decontaminate.find_contamination(_packed(docs), table(spark, sf_dir, "benchmark"), keep=["_row"])
     return found.where("not contaminated").select("_row.*")
 
