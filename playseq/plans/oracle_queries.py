@@ -325,6 +325,17 @@ on_entries(
       CASE WHEN ord % 9 <> 0 THEN home_score + CASE WHEN ord % 7 = 0 THEN 1 ELSE 0 END END AS home_after FROM {src}) WHERE change IS NOT NULL""",
 )
 
+on_entries(
+    "entry_alignment",
+    """SELECT * FROM (SELECT game_id, 'p' || ord AS play_id, slot,
+      CASE WHEN NOT had THEN 'added' WHEN NOT has THEN 'removed' WHEN ord % 13 = 0 AND ord % 7 = 0 THEN 'moved, changed'
+           WHEN ord % 13 = 0 THEN 'moved' WHEN ord % 7 = 0 THEN 'changed' END AS change,
+      CASE WHEN had THEN ord END AS old_place, CASE WHEN has THEN ord + CASE WHEN ord % 13 = 0 THEN 1000 ELSE 0 END END AS new_place,
+      CASE WHEN had THEN home_score END AS home_before, CASE WHEN has THEN home_score + CASE WHEN ord % 7 = 0 THEN 1 ELSE 0 END END AS home_after
+      FROM (SELECT *, ord % 11 <> 0 AS had, ord % 9 <> 0 AND NOT (slot = 1 AND ord % 15 = 0) AS has
+        FROM {src}, (VALUES (0), (1)) AS s(slot) WHERE slot = 0 OR ord % 5 = 0) WHERE had OR has) WHERE change IS NOT NULL""",
+)
+
 # -- documents: the flattened result straight from the tables
 
 _GAME = """CAST(key AS VARCHAR) AS game_id, 'Team HOM ' || o_custkey AS home_team, 'HOM' AS home_abbrev,
