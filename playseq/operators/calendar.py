@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from playseq.functions.text import day_range
-from playseq.operators.storage import local_table
+from playseq.operators.ranges import in_ranges
+from playseq.operators.storage import BROADCAST_ROWS, local_table
 
 REGULAR, POSTSEASON = 2, 3
 CALENDAR_SCHEMA = "season int, week int, seasontype int, start_date date, end_date date"
@@ -63,21 +64,17 @@ def week_dates(requests: DataFrame, calendar: DataFrame) -> DataFrame:
 def games_in_weeks(games: DataFrame, calendar: DataFrame, day: Column) -> DataFrame:
     """Each game with every calendar row that contains its day (inclusive).
 
-    Calendar rows are listed under each month they touch, so this is a hash join on the month with the
-    date range as a filter on at most a few candidates, not a nested loop.
+    Calendars of any size, with rows of any length that may overlap; see ``in_ranges``.
     """
-    months = calendar.withColumn(
-        "_month", F.explode(F.sequence(F.trunc("start_date", "month"), F.trunc("end_date", "month"), F.expr("interval 1 month")))
-    )
-    dated = games.withColumn("_day", day.cast("date")).withColumn("_month", F.trunc("_day", "month"))
-    inside = F.col("_day").between(F.col("start_date"), F.col("end_date"))
-    return dated.join(F.broadcast(months), "_month").where(inside).drop("_month", "_day")
+    return in_ranges(games.withColumn("_day", day.cast("date")), calendar, "_day", "start_date", "end_date").drop("_day")
 
 
 def games_on_days(games: DataFrame, calendar: DataFrame, day: Column) -> DataFrame:
     """Like :func:`games_in_weeks`, with the calendar spread to one row per day: an equality join."""
     days = calendar.withColumn("_day", F.explode(F.sequence("start_date", "end_date")))
-    return games.withColumn("_day", day.cast("date")).join(F.broadcast(days), "_day").drop("_day")
+    if days.count() <= BROADCAST_ROWS:
+        days = F.broadcast(days)
+    return games.withColumn("_day", day.cast("date")).join(days, "_day").drop("_day")
 
 
 def games_of_week(

@@ -13,7 +13,7 @@ from playseq.functions import plays as P
 from playseq.functions.clock import clock_seconds, clock_text, play_seconds
 from playseq.functions.field import clamp, signed_position, yards_to_endzone
 from playseq.functions.text import signed, wall_time
-from playseq.operators import alerts, calendar, checks, flags, mapping, names, scoring, summary, views
+from playseq.operators import alerts, calendar, checks, flags, mapping, names, ranges, scoring, summary, views
 from playseq.operators.clock import clamp_clocks, fix_clocks, repair_stuck_clocks, snap_clocks
 from playseq.operators.field import fill_field_positions
 from playseq.operators.order import PLAY_ORDER, first_arrivals, in_play_order
@@ -509,6 +509,19 @@ def week_date_ranges(spark, folder):
     return calendar.week_dates(requests, order_calendar(spark)).select("request_id", "season", "week", "seasontype", "dates")
 
 
+@query
+def range_counts(spark, folder):
+    """Ship dates within the range of each order: from its date on some days, for every fiftieth order some months, overlapping."""
+    days = F.when(F.col("o_orderkey") % 50 == 0, F.col("o_orderkey") % 211).otherwise(F.col("o_orderkey") % 7 - 1)
+    start = order_day()
+    spans = table(spark, folder, "orders").select("o_orderkey", start.alias("start_date"), F.date_add(start, days.cast("int")).alias("end_date"))
+    shipped = table(spark, folder, "lineitem").select(F.col("l_shipdate").cast("date").alias("day"))
+    # Equal days are one point with their number.
+    points = shipped.groupBy("day").agg(F.count("*").alias("n"))
+    found = ranges.in_ranges(points, spans, "day", "start_date", "end_date")
+    return found.groupBy("o_orderkey").agg(F.count("*").alias("days"), F.sum("n").alias("lines"))
+
+
 def schedule_columns() -> list:
     """League by status, and the season columns."""
     return [

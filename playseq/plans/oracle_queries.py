@@ -243,6 +243,9 @@ SQL["week_date_ranges"] = f"""{_CALENDAR}, asked AS (SELECT o_orderkey AS reques
   CAST(o_orderkey % 18 AS INTEGER) AS week, CASE WHEN o_orderkey % 11 = 0 THEN 3 ELSE 2 END AS seasontype FROM orders)
 SELECT request_id, a.season, a.week, a.seasontype, strftime(start_date, '%Y%m%d') || '-' || strftime(end_date, '%Y%m%d') AS dates
 FROM asked a LEFT JOIN weeks w ON w.season = a.season AND w.seasontype = a.seasontype AND (a.seasontype = 3 OR w.week = a.week)"""
+SQL["range_counts"] = """WITH p AS (SELECT CAST(l_shipdate AS DATE) AS day, count(*) AS n FROM lineitem GROUP BY ALL),
+r AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS a, CAST(o_orderdate AS DATE) + CAST(CASE WHEN o_orderkey % 50 = 0 THEN o_orderkey % 211 ELSE o_orderkey % 7 - 1 END AS INTEGER) AS b FROM orders)
+SELECT o_orderkey, count(*) AS days, CAST(sum(n) AS BIGINT) AS lines FROM r JOIN p ON day BETWEEN a AND b GROUP BY o_orderkey"""
 _SCHEDULE = """schedule AS (SELECT o_orderkey AS game_id, CASE WHEN o_orderstatus = 'O' THEN 'nfl' ELSE 'cfb' END AS league,
   CASE WHEN o_orderstatus = 'P' THEN 'in' ELSE 'post' END AS status, CAST(year(o_orderdate) AS INTEGER) AS season,
   CAST(dayofyear(o_orderdate) // 20 AS INTEGER) AS week, 2 AS seasontype, CAST(o_orderdate AS DATE) AS gd, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS game_date FROM orders)"""
