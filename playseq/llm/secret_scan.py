@@ -15,7 +15,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from playseq.operators.storage import local_table, written
+from playseq.operators.storage import BROADCAST_ROWS, local_table, written
 
 # A credential word, : or = (or both), and a quote that may stand before the value; bounded, as it is looked for behind values.
 _WORD = "token|secret|passw(?:or)?d|passphrase|passwd|pwd|api[_-]?key|access[_-]?key|auth|authorization|bearer|credential|private[_-]?key"
@@ -27,6 +27,8 @@ CANDIDATE = rf"{GIVEN}|(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-
 #: Most labelled findings of either class that are learned from.
 PER_CLASS = 5000
 TREES, DEPTH, SEED = 20, 6, 11
+#: Bytes of values that may be sent to every task with their texts' keys.
+BROADCAST_BYTES = 16_000_000
 #: Characters of context kept on each side.
 CONTEXT = 60
 #: Words that make a token look written rather than drawn at random.
@@ -218,12 +220,16 @@ def redact(documents: DataFrame, mark: str = "[SECRET]", path: str = "source") -
     columns = documents.columns
     # By the text: equal texts hold equal values, so what is collected for a key is bounded by one text. The row is packed,
     # so that no column clashes with a name used here.
-    key = F.sha2(F.col("text").cast("binary"), 256).alias("_key")
+    key = F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("_key")
     given = documents.select(key, "text", *([path] if path in columns and path not in ("text", "_key") else []))
     found = written(candidates(given, ("_key",), path), "candidates")
     secret = written(classify(found, fit_by_default(found)).where("secret").select("value").distinct(), "secrets")
     held = found.join(secret, "value", "left_semi").groupBy("_key").agg(F.collect_set("value").alias("_values"))
-    joined = documents.select(F.struct(*columns).alias("_row"), key).join(written(held, "held"), "_key", "left")
+    held = written(held, "held")
+    # Counted and measured: few enough go to every task, so that texts stay where they are.
+    n, size = held.agg(F.count("*"), F.coalesce(F.sum(F.aggregate("_values", F.lit(0).cast("long"), lambda a, v: a + F.octet_length(v))), F.lit(0))).first()
+    held = F.broadcast(held) if n <= BROADCAST_ROWS and size <= BROADCAST_BYTES else held
+    joined = documents.select(F.struct(*columns).alias("_row"), key).join(held, "_key", "left")
     # Longest first, so that a value inside another one does not break it.
     ordered = F.array_sort("_values", lambda a, b: F.length(b) - F.length(a))
     clean = F.aggregate(ordered, F.col("_row.text"), lambda t, v: F.replace(t, v, F.lit(mark)))
