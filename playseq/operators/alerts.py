@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from playseq.functions.text import alert_key
+from playseq.operators.storage import merged
 
 # Order of issues within a batch, for "first one wins".
 ISSUE_ORDER = ("play_index", "check_no")
@@ -34,9 +35,9 @@ def new_alerts(issues: DataFrame, seen: DataFrame | None = None, order: tuple[st
 
 def clean_game_alerts(games: DataFrame, issues: DataFrame, counts: DataFrame) -> DataFrame:
     """One OK alert per game without issues; these are never deduplicated."""
-    clean = games.join(issues.select("game_id").distinct(), "game_id", "left_anti")
+    clean = games.join(merged(issues.select("game_id").distinct()), "game_id", "left_anti")
     plays = F.coalesce(F.col("play_count"), F.lit(0))
-    return clean.join(counts.select("game_id", "play_count"), "game_id", "left").select(
+    return clean.join(merged(counts.select("game_id", "play_count")), "game_id", "left").select(
         "game_id",
         F.lit("OK").alias("severity"),
         F.lit("ok").alias("type"),

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from playseq.functions.plays import CONVERSION_DOWNS, is_conversion
 from playseq.functions.text import score_rises
 from playseq.operators.sequence import GAME, Ordered
+from playseq.operators.storage import merged
 
 CONVERSION_TYPE = "struct<text:string,value:int>"
 SCORE = "struct<home:int,away:int>"
@@ -78,7 +79,7 @@ def final_score(games: DataFrame, entries: DataFrame, seq: Ordered = GAME, *, ho
     last = entries.groupBy(*seq.keys).agg(F.max(F.struct(*seq.order, home, away)).alias("_last"))
     zero = F.lit(0)
     return (
-        games.join(last, list(seq.keys), "left")
+        games.join(merged(last), list(seq.keys), "left")
         .withColumns(
             {
                 "actual_home": F.coalesce(F.col("_last")[home], zero),

@@ -14,7 +14,7 @@ from playseq.operators.mapping import map_plays
 from playseq.operators.names import with_canonical_names
 from playseq.operators.order import first_arrivals, in_play_order
 from playseq.operators.sequence import GAME, Ordered
-from playseq.operators.storage import filter_by_keys, written
+from playseq.operators.storage import filter_by_keys, merged, written
 from playseq.sources import documents
 
 HEADER_COLUMNS = ("status", "home_team_id", "home_team", "home_abbrev", "away_team_id", "away_team", "away_abbrev")
@@ -44,7 +44,7 @@ def plays_from_summaries(docs: DataFrame, headers: DataFrame) -> DataFrame:
     raw = documents.explode_plays(docs, "game_id")
     plays = in_play_order(first_arrivals(documents.parse_plays(raw, "game_id")))
     # One row per game on the right; the left side is already partitioned by game.
-    return plays.join(headers, "game_id")
+    return plays.join(merged(headers), "game_id")
 
 
 def entries_from_plays(plays: DataFrame, seq: Ordered = GAME, *carry: str) -> DataFrame:

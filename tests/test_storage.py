@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from playseq.operators import storage
+from playseq.operators import alerts, scoring, storage
 from tests.conftest import collected
 
 
@@ -24,3 +24,25 @@ def test_filter_and_lookup(spark, monkeypatch, limit):
 
 def test_shared_folder_is_the_configured_one(spark):
     assert storage.shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
+
+
+def test_games_are_not_copied_through_the_driver(spark):
+    """Tables with a row per game are merged even when they look small enough to be copied."""
+    games = spark.range(50).selectExpr("cast(id as string) as game_id", "'x' as name")
+    issues = games.where("game_id < 30").select("game_id")
+    counts = games.select("game_id", F.lit(2).alias("play_count"))
+    clean = alerts.clean_game_alerts(games, issues, counts)
+    scores = games.selectExpr("game_id", "1 as ord", "3 as home_score", "7 as away_score")
+    final = scoring.final_score(games, scores)
+    assert clean.count() == 20 and final.where("actual_home = 3 and actual_away = 7").count() == 50
+    for df in (clean, final):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_keys_of_many_games_are_not_copied_through_the_driver(spark, monkeypatch):
+    monkeypatch.setattr(storage, "BROADCAST_KEYS", 10)
+    games = spark.range(50).selectExpr("cast(id as string) as game_id")
+    left = storage.filter_by_keys(games, games.where("game_id < 30"), ["game_id"], keep=False)
+    assert left.count() == 20
+    assert "Broadcast" not in left._jdf.queryExecution().executedPlan().toString()
