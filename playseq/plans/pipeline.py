@@ -81,7 +81,12 @@ def process_summaries(docs: DataFrame, overrides: DataFrame, canonical: DataFram
 
     A document is one row, which bounds the plays of a game; no key has to be cut into slices.
     """
-    docs = documents.newest(documents.readable(docs), "game_id")
+    # Written, because headers and plays are both read off them: else each would read, parse and sort all documents again.
+    return process_newest(written(documents.newest(documents.readable(docs), "game_id"), "newest"), overrides, canonical)
+
+
+def process_newest(docs: DataFrame, overrides: DataFrame, canonical: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The same from readable documents, one of each game, that are written already."""
     headers = headers_from_summaries(docs, overrides, canonical)
     entries = entries_from_plays(plays_from_summaries(docs, headers), GAME, "league")
     return entries, game_headers(headers, entries)
@@ -140,7 +145,7 @@ def check_documents(docs: DataFrame, overrides: DataFrame, canonical: DataFrame)
     readable = documents.readable(docs)
     failed = written(broken.unionByName(documents.unmappable(readable)), "failed")
     sound = filter_by_keys(readable, failed, ["game_id"], keep=False)
-    entries, headers = process_summaries(sound, overrides, canonical)
+    entries, headers = process_newest(sound, overrides, canonical)
     return check_games(headers, entries, failed=failed)
 
 
