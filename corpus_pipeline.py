@@ -34,9 +34,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     found = written(ngram_join.near_duplicates(docs, words=NEAR_WORDS, percent=NEAR_PERCENT), "groups")
     gone = written(found.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
     kept = docs.join(F.broadcast(gone) if gone.count() <= ngram_join.SMALL else gone, "doc_id", "left_anti").select(*docs.columns)
-    again = written(found.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id"), "again")
+    again = found.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id")
     if again.isEmpty():
         return kept
+    again = written(again, "again")
     # The same row on every run: the smallest by a hash of its text, then by all its columns.
     repeated = kept.join(again, "doc_id", "left_semi").select(*docs.columns)
     once = repeated.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("_h"), F.struct(*docs.columns).alias("_row"))).alias("_least"))

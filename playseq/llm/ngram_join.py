@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from playseq.llm.common import brief_shuffles, release_memory, small_batches
-from playseq.llm.components import components
+from playseq.llm.components import stars
 from playseq.llm.packing import ANSWERS, LOW, answered, answers, by_range, firsts, packed, range_keys, seen_again, spread
 from playseq.operators.storage import written
 
@@ -284,10 +284,15 @@ def _fingerprint(elements: np.ndarray) -> tuple[int, int]:
     return int(a.view(np.int64)), int(b.view(np.int64))
 
 
+def _sent(df: DataFrame, size: int) -> DataFrame:
+    """``df`` as the side of a join that goes to every task if ``size`` is small."""
+    return F.broadcast(df) if size <= SMALL else df
+
+
 def _only(df: DataFrame, ids: DataFrame, column: str) -> DataFrame:
-    """Rows of ``df`` whose ``column`` is in ``ids``: sent to every task if counted and small, else joined by shuffle."""
+    """Rows of ``df`` whose ``column`` is in ``ids`` (read twice): sent to every task if counted and small, else joined by shuffle."""
     ids = ids.select(F.col(ids.columns[0]).alias(column))
-    return df.join(F.broadcast(ids) if ids.count() <= SMALL else ids, column, "left_semi")
+    return df.join(_sent(ids, ids.count()), column, "left_semi")
 
 
 def _similar_sizes(a: Column, b: Column, percent: int) -> Column:
@@ -299,7 +304,7 @@ def _sketches_allow(a: str, b: str, percent: int) -> Column:
     return differ * (100 + percent) <= (F.col(f"{a}.n") + F.col(f"{b}.n")) * (100 - percent)
 
 
-def _indexed(shared, words: int, ranges: int, kind: pa.DataType):
+def _indexed(shared, words: int, ranges: int):
     """Sets, index keys and fingerprints of documents by batch; and the packed keys of each batch."""
     names = ["batch", "doc_id", "n", "f", "g", "sketch", "keys", "range", "m", "packed"]
 
@@ -338,7 +343,7 @@ def _indexed(shared, words: int, ranges: int, kind: pa.DataType):
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array([name] * k),
-                null(kind, k),
+                null(ids.type, k),
                 null(pa.int64(), k),
                 null(pa.int64(), k),
                 null(pa.int64(), k),
@@ -436,8 +441,8 @@ def _verified(pairs: DataFrame, classes: DataFrame, documents: DataFrame, words:
     The texts of these classes are read again. The partners of a class are dealt into groups, and each group meets
     the one set of its class in a task, so no pair carries two sets.
     """
-    ids = written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "candidates")
-    wanted = written(_only(classes, ids, "id").select("id", "doc_id", "f", "g", "n"), "wanted")
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    wanted = written(classes.join(_sent(ids, 2 * pairs.count()), "id", "left_semi").select("id", "doc_id", "f", "g", "n"), "wanted")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         given: set[tuple] = set()
@@ -456,14 +461,16 @@ def _verified(pairs: DataFrame, classes: DataFrame, documents: DataFrame, words:
             yield rows.filter(pa.array(fresh, pa.bool_()))
         release_memory()
 
-    texts = _only(documents.where("doc_id is not null and text is not null").select("doc_id", "text"), wanted.select("doc_id").distinct(), "doc_id")
+    few = wanted.count()
+    texts = documents.where("doc_id is not null and text is not null").join(_sent(wanted.select("doc_id"), few), "doc_id", "left_semi")
     made = texts.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(documents.dtypes)['doc_id']}, f long, g long, n long, elements binary")
     # Five columns for each wanted class, so fewer of them are sent to every task.
-    known = F.broadcast(wanted) if wanted.count() <= SMALL // 5 else wanted
+    known = _sent(wanted, 5 * few)
     sets = written(made.join(known, ["doc_id", "f", "g", "n"]).select("id", F.monotonically_increasing_id().alias("row"), "elements"), "sets")
     # Rows that repeat an id with one text give one set for each task that reads some of them; one is taken.
-    repeated = written(sets.groupBy("id").agg(F.min("row").alias("row"), F.count("*").alias("n")).where("n > 1").select("id", "row"), "repeated")
+    repeated = sets.groupBy("id").agg(F.min("row").alias("row"), F.count("*").alias("n")).where("n > 1").select("id", "row")
     if not repeated.isEmpty():
+        repeated = written(repeated, "repeated")
         once = sets.join(repeated.select("id"), "id", "left_anti").select("id", "elements")
         sets = once.union(sets.join(repeated, ["id", "row"], "left_semi").select("id", "elements"))
 
@@ -488,6 +495,26 @@ def _verified(pairs: DataFrame, classes: DataFrame, documents: DataFrame, words:
     return hubs.groupBy("a", "group").cogroup(partners.groupBy("hub", "part")).applyInArrow(meet, "a long, b long")
 
 
+def _across(inside: DataFrame, info: DataFrame, keys: int, percent: int) -> DataFrame:
+    """Distinct pairs of a member that is outside its hub's component and any other member of the key, of another component.
+
+    ``keys``: number of keys with members outside.
+    """
+    outside = inside.where("out").select("key", "id", "component").join(info, "id")
+    others = inside.join(_sent(inside.where("out").select("key").distinct(), keys), "key", "left_semi").join(info, "id")
+    pair = (
+        outside.alias("x")
+        .join(others.alias("y"), F.col("x.key") == F.col("y.key"))
+        .where(
+            (F.col("x.component") != F.col("y.component"))
+            & (~F.col("y.out") | (F.col("x.id") < F.col("y.id")))
+            & _similar_sizes(F.col("x.n"), F.col("y.n"), percent)
+            & _sketches_allow("x", "y", percent)
+        )
+    )
+    return pair.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+
+
 def near_duplicates(documents: DataFrame, *, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """For each row of ``documents`` (doc_id, text): doc_id, n_shingles and component_id.
 
@@ -514,10 +541,9 @@ def _near_duplicates(documents: DataFrame, words: int, percent: int) -> DataFram
     # Ranges for about as many keys as the sample lets expect; another number changes their sizes only.
     ranges = max(1, -(-int(sum(len(index.keys(s)) for s in sample) / max(1, len(sample)) * size[0]) // RANGE_KEYS))
     shared = spark.sparkContext.broadcast(index)
-    arrow = spark.createDataFrame([], f"doc_id {kind}").toArrow().schema.field("doc_id").type
 
     fields = f"batch string, doc_id {kind}, n long, f long, g long, sketch binary, keys binary, range long, m int, packed binary"
-    base = written(rows.mapInArrow(_indexed(shared, words, ranges, arrow), fields), "shingles")
+    base = written(rows.mapInArrow(_indexed(shared, words, ranges), fields), "shingles")
     shared.unpersist()
     sets = base.where("range is null").select("batch", "doc_id", "n", "f", "g")
     # Equal sets are one class, with the smallest of its ids. Copies collapse before they are shuffled.
@@ -537,7 +563,7 @@ def _near_duplicates(documents: DataFrame, words: int, percent: int) -> DataFram
     counted = written(counted, "keys")
 
     # Keys of more than two classes: their members, and the hub of each.
-    members = written(_only(keyed, written(counted.where("m > 2").select("key"), "busy"), "key"), "members")
+    members = written(_only(keyed, counted.where("m > 2").select("key"), "key"), "members")
     often = members.groupBy("id").agg(F.count("*").alias("often"))
     hubs = members.join(often, "id").groupBy("key").agg(F.min_by("id", F.struct(-F.col("often"), "id")).alias("hub"))
     tied = written(members.join(hubs, "key"), "hubs")
@@ -554,32 +580,24 @@ def _near_duplicates(documents: DataFrame, words: int, percent: int) -> DataFram
 
     # Classes that hold one id are linked through it.
     placed = full.select("doc_id", "f", "g", "n").distinct()
-    repeated = written(placed.groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
+    repeated = placed.groupBy("doc_id").count().where("count > 1").select("doc_id")
     if not repeated.isEmpty():
+        repeated = written(repeated, "repeated")
         own = written(_only(placed, repeated, "doc_id").join(classes.select("id", "f", "g", "n"), ["f", "g", "n"]).select("doc_id", "id"), "own")
-        links = links.union(own.join(own.groupBy("doc_id").agg(F.min("id").alias("a")), "doc_id").where("a <> id").select("a", F.col("id").alias("b")))
+        links = written(links.union(own.join(own.groupBy("doc_id").agg(F.min("id").alias("a")), "doc_id").where("a <> id").select("a", F.col("id").alias("b"))), "links")
 
     # Members of a key that are not in its hub's component yet meet all other members of the key.
-    reached = written(components(links), "components")
+    final = reached = stars(links)
     inside = tied.join(reached.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "hub", F.coalesce("component", "id").alias("component"))
     inside = inside.join(reached.select(F.col("node").alias("hub"), F.col("component").alias("hub_component")), "hub", "left")
     inside = written(inside.withColumn("out", F.col("component") != F.coalesce("hub_component", "hub")).where("id <> hub").select("key", "id", "component", "out"), "inside")
-    outside = inside.where("out").select("key", "id", "component").join(info, "id")
-    others = _only(inside, written(outside.select("key").distinct(), "open"), "key").join(info, "id")
-    pair = (
-        outside.alias("x")
-        .join(others.alias("y"), F.col("x.key") == F.col("y.key"))
-        .where(
-            (F.col("x.component") != F.col("y.component"))
-            & (~F.col("y.out") | (F.col("x.id") < F.col("y.id")))
-            & _similar_sizes(F.col("x.n"), F.col("y.n"), percent)
-            & _sketches_allow("x", "y", percent)
-        )
-    )
-    pairs = pair.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    likely = written(_finely_allowed(written(pairs, "pairs"), vertices, percent), "likely")
-    later = _verified(likely, classes, documents, words, percent)
-    final = components(written(links.union(later), "links").select("a", "b"))
+    # The driver keeps something of each query, so those of this pass run only if they have rows.
+    open_keys = inside.where("out").select("key").distinct().count()
+    if open_keys:
+        likely = written(_finely_allowed(_across(inside, info, open_keys, percent).join(first, ["a", "b"], "left_anti"), vertices, percent), "likely")
+        if not likely.isEmpty():
+            later = _verified(likely, classes, documents, words, percent)
+            final = stars(written(reached.select(F.col("node").alias("a"), F.col("component").alias("b")).union(later), "links"))
 
     joined = classes.join(final.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     least = joined.groupBy("component").agg(F.min("doc_id").alias("component_id"))

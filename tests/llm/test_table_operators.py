@@ -1,6 +1,7 @@
 """Archive, vectors, pages, n-gram join, mixing, queries and pipeline, against plain versions."""
 
 import itertools
+import pathlib
 import random
 import re
 
@@ -12,6 +13,7 @@ import __spark_entry__ as entry
 import corpus_pipeline
 from playseq.llm import components, embeddings, html, mixing, ngram_join, queries, secret_scan, warc
 from playseq.llm.common import table
+from playseq.operators.storage import shared_dir
 from tests.conftest import SF, collected
 from tools.compare import TABLES, rows
 
@@ -147,6 +149,59 @@ def test_ngram_join_against_all_pairs(spark, words, percent):
     assert ngram_join.near_duplicates(df.limit(0), words=words, percent=percent).count() == 0
 
 
+def _copies(folder):
+    return [p.name.split("-")[0] for p in pathlib.Path(folder.removeprefix("file://"), "playseq").glob("*")]
+
+
+def test_components_of_stars_take_one_round(spark):
+    folder = shared_dir(spark)
+    before = _copies(folder).count("edges")
+    edges = spark.createDataFrame([(1, i) for i in range(2, 40)] + [(50, 51), (51, 50)], "a long, b long")
+    got = {r.node: r.component for r in components.components(edges).collect()}
+    assert got == {**{i: 1 for i in range(1, 40)}, 50: 50, 51: 50}
+    # The edges, and one round.
+    assert _copies(folder).count("edges") - before == 2
+
+
+def test_ngram_join_gives_the_driver_no_queries_without_rows(spark, monkeypatch):
+    rng = random.Random(12)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(60)) for _ in range(30)]
+    # Every fifth text has a copy with one word more.
+    data = [(i, t) for i, t in enumerate(texts)] + [(100 + i, f"{t} more") for i, t in enumerate(texts) if i % 5 == 0]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    calls = []
+    verified = ngram_join._verified
+    monkeypatch.setattr(ngram_join, "_verified", lambda *a: calls.append(1) or verified(*a))
+    folder = shared_dir(spark)
+    before = len(_copies(folder))
+    spark.sparkContext.setJobGroup("driver's work", "")
+    try:
+        found = ngram_join.near_duplicates(df)
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("driver's work"))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    got = {r.doc_id: r.component_id for r in found.collect()}
+    assert got == {i: i - 100 if i >= 100 else i for i, _ in data}
+    # No key is left open, so nothing is paired, verified and joined into components a second time.
+    assert len(calls) == 1 and len(_copies(folder)) - before <= 17 and jobs <= 80
+
+
+def test_ngram_join_pairs_members_outside_their_hub(spark, monkeypatch):
+    rng = random.Random(3)
+    texts = {}
+    for _ in range(4):
+        words = [f"v{rng.randrange(500)}" for _ in range(25)]
+        for _ in range(60):
+            texts[len(texts)] = " ".join(words)
+            words[rng.randrange(25)] = f"v{rng.randrange(500)}"
+    calls = []
+    verified = ngram_join._verified
+    monkeypatch.setattr(ngram_join, "_verified", lambda *a: calls.append(1) or verified(*a))
+    found = ngram_join.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), words=1, percent=80)
+    assert {r.doc_id: r.component_id for r in found.collect()} == _labels(texts, 1, 80)[1]
+    assert len(calls) == 2
+
+
 def test_any_allotment_finds_similar_sets():
     rng = np.random.default_rng(2)
     for size in (10, 19, 40, 150):
