@@ -1,10 +1,14 @@
 """Joins with tables too large to broadcast."""
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from playseq.operators import alerts, scoring, storage
-from tests.conftest import collected
+from playseq.operators.sequence import GAME
+from playseq.plans import pipeline
+from playseq.plans.catalog import on_feed
+from tests.conftest import SF, collected
 
 
 @pytest.mark.parametrize("limit", [0, 1000])
@@ -46,3 +50,22 @@ def test_keys_of_many_games_are_not_copied_through_the_driver(spark, monkeypatch
     left = storage.filter_by_keys(games, games.where("game_id < 30"), ["game_id"], keep=False)
     assert left.count() == 20
     assert "Broadcast" not in left._jdf.queryExecution().executedPlan().toString()
+
+
+def test_other_columns_pass_windows_as_one(spark):
+    """Packed twice and back, values and nulls stay; and the optimizer does not take the columns apart below a window."""
+    df = spark.sql("select id g, id % 3 k, if(id % 2 = 0, 'x', null) a, struct(id b) c, array(id) d from range(9)")
+    slim = storage.packed(storage.packed(df, ["g", "k"]), ["g"])
+    assert slim.columns == ["g", storage.REST] and storage.packed(df, df.columns).columns == df.columns
+    back = storage.unpacked(slim.withColumn("n", F.row_number().over(Window.partitionBy("g").orderBy("g"))))
+    assert collected(back, *df.columns) == collected(df, *df.columns)
+    plan = back.select("a", "n")._jdf.queryExecution().optimizedPlan().toString()
+    assert f"AS {storage.REST}#" in plan.split("Window")[1]
+
+
+def test_clock_repair_sorts_few_columns(spark):
+    """The rows of a game pass the clock repair with what it needs and one column more."""
+    plays = on_feed(spark, SF, lambda df, seq: df.withColumn("extra", F.lit("x")))
+    entries = pipeline.entries_from_plays(plays, GAME, "extra")
+    plan = entries._jdf.queryExecution().optimizedPlan().toString()
+    assert f"{storage.REST}#" in plan and entries.where("extra = 'x'").count() == entries.count() > 0
